@@ -1,0 +1,30 @@
+"""The registered queries of this subpackage and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessitura.llm import encoding, packing
+from tessitura.session import table
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_report(p7_containers(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p6_ids, p7_containers, p7_report)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
