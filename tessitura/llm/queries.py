@@ -6,9 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import encoding, packing
+from tessitura.llm import encoding, packing, repeated_lines
 from tessitura.session import table
 
+_CORPUS = ("registro", "id", "fonte", "texto")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines.find_repeated_lines(table(spark, sf_dir, "corpus"), *_CORPUS)
+    return found.withColumnRenamed("line_no", "linha_no")
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.remove_repeated_lines(table(spark, sf_dir, "corpus"), *_CORPUS)
+
+
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.find_repeated_blocks(table(spark, sf_dir, "corpus"), *_CORPUS)
+
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -23,8 +38,29 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p6_ids, p7_containers, p7_report)}
+
+
+_LINES = r"""
+WITH parts AS (SELECT registro, id, fonte, string_split(texto, chr(10)) AS parts FROM corpus WHERE texto IS NOT NULL AND fonte IS NOT NULL),
+split AS (SELECT registro, id, fonte, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS linha_no FROM parts),
+keyed AS (SELECT registro, id, fonte, linha_no, line, lower(regexp_replace(line, '\P{L}+', '', 'g')) AS k FROM split),
+totals AS (SELECT fonte, count(DISTINCT id) AS n FROM corpus GROUP BY fonte),
+cases AS (
+  SELECT keyed.fonte, k FROM keyed JOIN totals ON totals.fonte = keyed.fonte WHERE length(k) >= 15
+  GROUP BY keyed.fonte, k, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.05 * n),
+gone AS (SELECT registro, linha_no FROM keyed JOIN cases ON cases.fonte = keyed.fonte AND cases.k = keyed.k)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _LINES + "SELECT registro, linha_no FROM gone",
+        "p2_clean": _LINES
+        + """SELECT c.registro,
+  CASE WHEN n.removed IS NULL THEN c.texto ELSE coalesce(k.text, '') END AS text, coalesce(n.removed, 0) AS removed
+FROM corpus c
+LEFT JOIN (SELECT registro, count(*) AS removed FROM gone GROUP BY registro) n ON n.registro = c.registro
+LEFT JOIN (SELECT s.registro, string_agg(s.line, chr(10) ORDER BY s.linha_no) AS text FROM split s
+  LEFT JOIN gone g ON g.registro = s.registro AND g.linha_no = s.linha_no WHERE g.registro IS NULL GROUP BY s.registro) k ON k.registro = c.registro""",
+    }
