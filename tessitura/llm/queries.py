@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import encoding, near_duplicates, packing, repeated_lines
+from tessitura.llm import encoding, near_duplicates, packing, repeated_lines, vectors
 from tessitura.session import table
 
 _CORPUS = ("registro", "id", "fonte", "texto")
@@ -33,6 +33,14 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "corpus"), "id", "texto")
 
 
+_CHUNKS = ("chunk_id", "model", "embedding", "indexed_at")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = vectors.similar_pairs(table(spark, sf_dir, "metadata"), *_CHUNKS)
+    return pairs.withColumnsRenamed({"item_a": "chunk_id_a", "item_b": "chunk_id_b"})
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -46,7 +54,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p5_found, p6_ids, p7_containers, p7_report)}
 
 
 _LINES = r"""
