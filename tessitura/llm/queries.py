@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import encoding, near_duplicates, packing, repeated_lines, vectors
+from tessitura.llm import encoding, endings, near_duplicates, packing, repeated_lines, vectors
 from tessitura.session import table
 
 _CORPUS = ("registro", "id", "fonte", "texto")
@@ -53,8 +53,19 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p7_containers(spark, sf_dir))
 
 
+_TEXTS = ("doc_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings.find_cut_texts(table(spark, sf_dir, "documents"), *_TEXTS)
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endings.cut_shares(table(spark, sf_dir, "documents"), *_TEXTS, "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p5_found, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p5_found, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
 
 
 _LINES = r"""
