@@ -35,6 +35,8 @@ _OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in _BITS])])
 CELLS = int(_OFFSETS[-1])
 _BLOCK = 1 << 13
 _PULL = 2.0
+#: Characters that a task counts at once.
+_CHUNK = 400_000
 #: Odds that an uncommon length can add.
 _MOST_LENGTH_ODDS = 8.0
 
@@ -110,17 +112,32 @@ def _opening(line: str) -> str:
     return line.split(" ", 1)[0]
 
 
+def _tally(lines: list[str], shapes: list[int], words: list[int], inner: list[bool], places: np.ndarray, ends: np.ndarray) -> None:
+    """Add the contexts of some lines to the tables."""
+    codes = _coded("\n".join(lines).lower() + "\n")
+    stop = codes == 10
+    line_of = np.minimum(np.cumsum(stop) - stop, len(lines) - 1)
+    before_stop = np.zeros(len(codes), bool)
+    before_stop[:-1] = stop[1:]
+    shape, word = np.array(shapes, np.uint64), np.array(words, np.uint64)
+    place = np.flatnonzero(~stop & ~before_stop & (codes != 32))
+    end = np.flatnonzero(before_stop & ~stop)
+    end = end[np.array(inner)[line_of[end]]]
+    for where, table in ((place, places), (end, ends)):
+        own = line_of[where]
+        for t, cells in enumerate(_cells(codes, where, shape[own], word[own])):
+            low = int(_OFFSETS[t])
+            table[low : low + (1 << _BITS[t])] += np.bincount(cells - low, minlength=1 << _BITS[t])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, ends = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
-    total = np.zeros(2, np.int64)
+    places, ends, total = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64), np.zeros(2, np.int64)
     openings = _Openings()
+    kept, shapes, words, inner, held = [], [], [], [], 0
     for batch in batches:
-        kept, shapes, words, inner = [], [], [], []
         for text in batch.column(0):
             text = text.as_py()
-            if not text:
-                continue
-            lines = [x for x in _lines(peel(text)) if x]
+            lines = [x for x in _lines(peel(text or "")) if x]
             if not lines:
                 continue
             # A text whose lines go on in the next line is wrapped: its lines' ends aren't ends.
@@ -132,26 +149,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.append(word)
                 inner.append(not wrapped and i + 1 < len(lines))
             kept.extend(lines)
-            total[0] += sum(map(len, lines)) - sum(x.count(" ") for x in lines) - len(lines)
+            size = sum(map(len, lines))
+            total[0] += size - sum(x.count(" ") for x in lines) - len(lines)
             total[1] += 0 if wrapped else len(lines) - 1
-        if not kept:
-            continue
-        codes = _coded("\n".join(kept).lower() + "\n")
-        stop = codes == 10
-        line_of = np.cumsum(stop) - stop
-        line_of = np.minimum(line_of, len(kept) - 1)
-        before_stop = np.zeros(len(codes), bool)
-        before_stop[:-1] = stop[1:]
-        shape, word = (np.array(x, np.uint64) for x in (shapes, words))
-        inner = np.array(inner)
-        place = np.flatnonzero(~stop & ~before_stop & (codes != 32))
-        end = np.flatnonzero(before_stop & ~stop)
-        end = end[inner[line_of[end]]]
-        for where, table in ((place, places), (end, ends)):
-            own = line_of[where]
-            for t, cells in enumerate(_cells(codes, where, shape[own], word[own])):
-                low = int(_OFFSETS[t])
-                table[low : low + (1 << _BITS[t])] += np.bincount(cells - low, minlength=1 << _BITS[t])
+            held += size
+            if held > _CHUNK:
+                _tally(kept, shapes, words, inner, places, ends)
+                kept, shapes, words, inner, held = [], [], [], [], 0
+    if kept:
+        _tally(kept, shapes, words, inner, places, ends)
     kinds, numbers, values = ["totals"], [0], [total.tobytes()]
     for kind, table in (("places", places), ("ends", ends)):
         for b in range(0, CELLS, _BLOCK):
