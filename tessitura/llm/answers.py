@@ -24,6 +24,9 @@ from tessitura.session import materialize
 #: Bytes that a copy may add to its question, and the share of the question it must repeat.
 NEW_BYTES, REPEATED_SHARE = 10, 0.6
 
+#: Shorter answers aren't judged by their end.
+LEAST_WORDS = 4
+
 # What stands for an answer without being one, letters and digits only.
 FILLERS = frozenset(
     "na nd null none nan nil vazio vazia empty semresposta resposta noanswer answer undefined tbd todo semdados nodata "
@@ -50,6 +53,12 @@ LANGUAGE_WORDS = {
     "en": "the of and to is must be within days whenever shall each it was set at which covers this only from show how changed after unless has been paid may used any up percent section applies according by for in what who when does under an",
     "fr": "le les la des du un une et est sont dans en pour que selon doit lorsque faut avant délai jours l'article montrent été par insuffisante insuffisant c'est régler notifier où sur avec qui ne pas prise compte",
 }
+# Words that an answer can't end with, and abbreviations that wait for a number.
+OPEN_WORDS = frozenset(
+    "o a os as ao aos à às do da dos das de em no na nos nas e ou que com por para pelo pela pelos pelas um uma se sem sob sobre entre conforme quando seu sua "
+    "the of and or to in an by at for from with which whose el la los las del al y en un una con sin según le les la du des et ou dans par pour sur".split()
+)
+OPEN_SHORT = frozenset("art. arts. nº n.º inc. § p. ex. al.".split())
 _WORDS: dict[str, set[str]] = {}
 for _lang, _list in LANGUAGE_WORDS.items():
     for _word in _list.split():
@@ -133,8 +142,19 @@ def is_other_language(question: str | None, answer: str) -> bool:
     return bool(asked) and best != asked and score[best] >= 3 and score[best] >= 2 * score[asked]
 
 
+def is_left_open(answer: str) -> bool:
+    """Ends with a word, sign or bracket that something was to follow."""
+    text = answer.rstrip()
+    words = text.split()
+    if len(words) < LEAST_WORDS:
+        return False
+    last = words[-1].lower()
+    return last.lstrip("([“\"") in OPEN_WORDS or last in OPEN_SHORT or text[-1] in ",(" or text.rfind("(") > max(text.rfind(")"), len(text) - 40)
+
+
 def defect(question: str | None, answer: str | None) -> str:
-    """The defect that needs no end-of-text model, or ''."""
+    """The defect that needs no end-of-text model, or '': of cut answers those
+    that an open word or bracket gives away."""
     answer = unwrapped(answer) if answer else answer
     if is_empty(answer):
         return "empty"
@@ -144,6 +164,8 @@ def defect(question: str | None, answer: str | None) -> str:
         return "refusal"
     if is_other_language(question, answer):
         return "other_language"
+    if is_left_open(answer):
+        return "truncated"
     return ""
 
 
@@ -160,8 +182,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(known[pair])
         labels, texts, langs = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(labels, pa.string()), pa.array(texts, pa.string()), pa.array(langs, pa.string())],
-            names=["item", "side", "defect", "answer", "lang"],
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(labels, pa.string()), pa.array(texts, pa.string()), pa.array(langs, pa.string())],
+            names=["item", "side", "question", "defect", "answer", "lang"],
         )
 
 
@@ -178,11 +200,14 @@ def find_defects(df: DataFrame, item_col: str, question_col: str, answer_cols: d
     kind = df.schema[item_col].dataType.simpleString()
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(c).alias("answer")) for s, c in answer_cols.items()))
     pairs = df.select(F.col(item_col).alias("item"), F.col(question_col).alias("question"), F.explode(sides).alias("p")).select("item", "p.side", "question", "p.answer")
-    labelled = materialize(pairs.mapInArrow(_labelled, f"item {kind}, side string, defect string, answer string, lang string"), "answers")
-    sound = labelled.where("defect = ''")
-    # Each answer is one text of the model, however many pairs have it.
-    answers = sound.select("answer", "lang", F.xxhash64("answer").alias("hash")).dropDuplicates(["hash"])
-    cut = cut_scores(answers, "hash", "answer", "lang").where(F.col("log_odds") > threshold).select(F.col("item").alias("hash"))
-    truncated = sound.select("item", "side", F.xxhash64("answer").alias("hash")).join(cut, "hash", "left_semi").select("item", "side", F.lit("truncated").alias("defect"))
+    labelled = materialize(pairs.mapInArrow(_labelled, f"item {kind}, side string, question string, defect string, answer string, lang string"), "answers")
+    key = F.xxhash64("question", "answer")
+    sound = labelled.where("defect = ''").select("item", "side", "question", "answer", "lang", key.alias("pair"))
+    # Each pair is one text of the model, however many rows repeat it.
+    pairs = sound.select("pair", "question", "answer", "lang").dropDuplicates(["pair"])
+    cut = cut_scores(pairs, "pair", "answer", "lang", "question").where(F.col("log_odds") > threshold).select(F.col("item").alias("pair"))
+    # Answers of a few words are values or a yes or no: too short to be a part of one.
+    long = sound.where(F.size(F.split(F.trim("answer"), r"\s+")) >= LEAST_WORDS)
+    truncated = long.select("item", "side", "pair").join(cut, "pair", "left_semi").select("item", "side", F.lit("truncated").alias("defect"))
     found = labelled.where("defect <> ''").select("item", "side", "defect").unionByName(truncated)
     return found.withColumnRenamed("item", item_col)

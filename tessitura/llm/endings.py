@@ -175,11 +175,11 @@ def _add(group: pa.Table) -> pa.Table:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its language, hash, lengths and the cells of its own end."""
+    """Per text its language, hash (with its topic), lengths and the cells of its own end."""
     openings = _Openings()
     for batch in batches:
         rows = []
-        for item, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for item, lang, text, topic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             text = text.as_py()
             lines = [x for x in _lines(peel(text or "")) if x]
             if not lines:
@@ -191,7 +191,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = [np.array([v], np.uint64) for v in (shape, word)]
             cells = [int(c[0]) for c in _cells(tail, np.array([len(tail) - 1]), *one)]
             raw = text.encode("utf-8", "surrogatepass")
-            rows.append((item, key, np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64), len(text), len(raw), cells))
+            rows.append((item, key, np.uint64(xxhash.xxh3_64_intdigest(raw, topic or 0)).astype(np.int64), len(text), len(raw), cells))
         items, keys, hashes, chars, sizes, cells = zip(*rows) if rows else ((),) * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(items, batch.column(0).type), pa.array(keys, pa.string()), pa.array(np.array(hashes, np.int64)), pa.array(chars, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells, pa.list_(pa.int32()))],
@@ -245,10 +245,14 @@ def _length_odds(counts: dict[int, int], share: float) -> dict[int, float]:
     return out
 
 
-def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str) -> tuple[EndModel, DataFrame]:
+def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str, topic_col: str | None = None) -> tuple[EndModel, DataFrame]:
     """The model of a column, counted over all its texts, and the features of
-    its texts (``item, lang, hash, chars, bytes, cells``; blank texts have none)."""
-    texts = df.select(df[item_col].alias("item"), df[lang_col].alias("lang"), df[text_col].alias("text"))
+    its texts (``item, lang, hash, chars, bytes, cells``; blank texts have none).
+
+    Copies of a text count as one end; with ``topic_col`` those of one topic
+    do, so that a text that stops alike on many topics speaks for its end."""
+    topic = F.lit(0).cast("bigint") if topic_col is None else F.abs(F.hash(df[topic_col])).cast("bigint")
+    texts = df.select(df[item_col].alias("item"), df[lang_col].alias("lang"), df[text_col].alias("text"), topic.alias("topic"))
     kind = texts.schema["item"].dataType.simpleString()
     counts = "kind string, number int, counts binary"
     # A fixed number of cells: what comes to the driver doesn't grow with the data.
@@ -261,7 +265,6 @@ def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str) -> t
 
     schema = f"item {kind}, lang string, hash bigint, chars bigint, bytes bigint, cells array<int>"
     features = materialize(texts.mapInArrow(_features, schema), "endings")
-    # Copies of a text are one end.
     distinct = features.select("lang", "hash", "chars", "bytes", "cells").dropDuplicates(["hash"])
     per_lang = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     n = max(1, sum(per_lang.values()))
@@ -290,9 +293,9 @@ def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str) -> t
     return model, features
 
 
-def cut_scores(df: DataFrame, item_col: str, text_col: str, lang_col: str) -> DataFrame:
+def cut_scores(df: DataFrame, item_col: str, text_col: str, lang_col: str, topic_col: str | None = None) -> DataFrame:
     """``item, log_odds`` of every text that isn't blank."""
-    model, features = fit_endings(df, item_col, text_col, lang_col)
+    model, features = fit_endings(df, item_col, text_col, lang_col, topic_col)
     held = df.sparkSession.sparkContext.broadcast(model)
     kind = features.schema["item"].dataType.simpleString()
 

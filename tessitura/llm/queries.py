@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessitura.llm import encoding, endings, near_duplicates, packing, repeated_lines, vectors
+from tessitura.llm import answers, encoding, endings, near_duplicates, packing, repeated_lines, vectors
 from tessitura.session import table
 
+_SIDES = {"generated": "system_output.generated_answer", "expected": "ground_truth.expected_answer"}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.find_defects(table(spark, sf_dir, "gt_audit_passing_sample"), "sample_id", "question", _SIDES)
+
+
 _CORPUS = ("registro", "id", "fonte", "texto")
 
 
@@ -65,7 +72,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p5_found, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_clean, p2_blocks, p3_found, p3_groups, p5_found, p6_ids, p7_containers, p7_report, p8_found, p8_shares)}
 
 
 _LINES = r"""
@@ -82,6 +89,27 @@ gone AS (SELECT registro, linha_no FROM keyed JOIN cases ON cases.fonte = keyed.
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": r"""
+WITH words AS (SELECT DISTINCT id, regexp_extract_all(lower(texto), '[\p{L}\p{N}]+') AS w FROM corpus WHERE id IS NOT NULL AND texto IS NOT NULL),
+texts AS (SELECT row_number() OVER (ORDER BY id, w) AS t, id, w FROM words WHERE len(w) >= 3),
+runs AS (SELECT DISTINCT t, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT t, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+sizes AS (SELECT t, count(*) AS n FROM runs GROUP BY t),
+shared AS (SELECT x.t AS a, y.t AS b, count(*) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.t < y.t GROUP BY ALL)
+SELECT DISTINCT least(p.id, q.id) AS id_a, greatest(p.id, q.id) AS id_b
+FROM shared JOIN sizes sa ON sa.t = a JOIN sizes sb ON sb.t = b JOIN texts p ON p.t = a JOIN texts q ON q.t = b
+WHERE p.id <> q.id AND shared.n >= 0.5 * (sa.n + sb.n - shared.n)""",
+        "p5_found": r"""
+WITH usable AS (
+  SELECT chunk_id, model, arg_max(e, indexed_at) AS e FROM (
+    SELECT chunk_id, model, indexed_at, embedding::DOUBLE[] AS e, try_cast(regexp_extract(model, '(\d+)$', 1) AS INT) AS dim
+    FROM metadata WHERE embedding IS NOT NULL AND chunk_id IS NOT NULL)
+  WHERE len(e) = dim AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+  GROUP BY chunk_id, model),
+scored AS (
+  SELECT x.chunk_id AS a, y.chunk_id AS b,
+    row_number() OVER (PARTITION BY x.model, x.chunk_id ORDER BY round(list_cosine_similarity(x.e, y.e), 12) DESC, y.chunk_id) AS r
+  FROM usable x JOIN usable y ON x.model = y.model AND x.chunk_id <> y.chunk_id)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM scored WHERE r <= 5""",
         "p2_found": _LINES + "SELECT registro, linha_no FROM gone",
         "p2_clean": _LINES
         + """SELECT c.registro,
