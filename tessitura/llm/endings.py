@@ -51,7 +51,9 @@ def language_key(lang: str | None) -> str:
 
 def peel(text: str) -> str:
     """Without what may have been put after a cut."""
-    return _AFTER_CUT.sub("", text)
+    while m := _AFTER_CUT.search(tail := text[-64:]):
+        text = text[: len(text) - len(tail) + m.start()]
+    return text
 
 
 def _shape(word: str) -> str:
@@ -77,25 +79,25 @@ class _Openings(dict):
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _cells(codes: np.ndarray, at: np.ndarray, shape: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
-    """Cell numbers of the contexts that end at the places ``at``, table by table."""
-    last = codes[at].astype(np.uint64)
-    kind = np.where(codes[at] > 0x2FF, 97, codes[at]).astype(np.uint64)
-    letter = ((codes[at] >= 97) & (codes[at] <= 122)) | (codes[at] >= 0xC0)
-    kind[letter] = 97
-    head = (kind + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    keys = [head, head ^ shape, (head ^ word) * np.uint64(3)]
-    run = np.full(len(at), 0x94D049BB133111EB, np.uint64)
-    for n in range(LONGEST):
-        c = last if n == 0 else codes[np.maximum(at - n, 0)].astype(np.uint64)
-        run = (run ^ (c + np.uint64(n << 40))) * np.uint64(0xD6E8FEB86659FD93)
-        keys.append(run)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return x ^ (x >> np.uint32(12))
+
+
+def _cells(codes: np.ndarray, shape: np.ndarray, word: np.ndarray) -> Iterator[np.ndarray]:
+    """Cell numbers of the contexts that end at each place, table by table.
+    ``shape`` and ``word`` are the hashes of the opening of each place's line."""
+    letter = ((codes >= 97) & (codes <= 122)) | (codes >= 0xC0)
+    head = (np.where(letter, np.uint32(97), codes) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    keys = (head, head ^ shape, (head ^ word) * np.uint32(3))
     for table, key in enumerate(keys):
-        yield (_mix(key) >> np.uint64(64 - _BITS[table])).astype(np.int64) + _OFFSETS[table]
+        yield (_mix(key) * np.uint32(0x297A2D39)) >> np.uint32(32 - _BITS[table])
+    run = np.zeros(len(codes), np.uint32)
+    for n in range(LONGEST):
+        if n < len(codes):
+            run[n:] ^= codes[: len(codes) - n] + np.uint32(n << 20)
+        run = _mix(run * np.uint32(0x9E3779B1))
+        table = n + 3
+        yield (run * np.uint32(0x297A2D39)) >> np.uint32(32 - _BITS[table])
 
 
 def _coded(text: str) -> np.ndarray:
@@ -119,15 +121,14 @@ def _tally(lines: list[str], shapes: list[int], words: list[int], inner: list[bo
     line_of = np.minimum(np.cumsum(stop) - stop, len(lines) - 1)
     before_stop = np.zeros(len(codes), bool)
     before_stop[:-1] = stop[1:]
-    shape, word = np.array(shapes, np.uint64), np.array(words, np.uint64)
-    place = np.flatnonzero(~stop & ~before_stop & (codes != 32))
+    place = ~(stop | before_stop | (codes == 32))
     end = np.flatnonzero(before_stop & ~stop)
     end = end[np.array(inner)[line_of[end]]]
-    for where, table in ((place, places), (end, ends)):
-        own = line_of[where]
-        for t, cells in enumerate(_cells(codes, where, shape[own], word[own])):
-            low = int(_OFFSETS[t])
-            table[low : low + (1 << _BITS[t])] += np.bincount(cells - low, minlength=1 << _BITS[t])
+    opening = (np.array(x, np.uint64).astype(np.uint32)[line_of] for x in (shapes, words))
+    for t, cells in enumerate(_cells(codes, *opening)):
+        part = slice(int(_OFFSETS[t]), int(_OFFSETS[t + 1]))
+        places[part] += np.bincount(cells[place], minlength=1 << _BITS[t])
+        ends[part] += np.bincount(cells[end], minlength=1 << _BITS[t])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +187,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             line = lines[-1]
             shape, word = openings[_opening(line)]
-            tail = _coded(("\n" + line)[-40:].lower())
+            tail = _coded(("\n" + line)[-2 * LONGEST :].lower())
             key = language_key(lang)
-            one = [np.array([v], np.uint64) for v in (shape, word)]
-            cells = [int(c[0]) for c in _cells(tail, np.array([len(tail) - 1]), *one)]
+            opening = [np.full(len(tail), v & 0xFFFFFFFF, np.uint32) for v in (shape, word)]
+            cells = [int(c[-1]) + int(low) for c, low in zip(_cells(tail, *opening), _OFFSETS)]
             raw = text.encode("utf-8", "surrogatepass")
             rows.append((item, key, np.uint64(xxhash.xxh3_64_intdigest(raw, topic or 0)).astype(np.int64), len(text), len(raw), cells))
         items, keys, hashes, chars, sizes, cells = zip(*rows) if rows else ((),) * 6
