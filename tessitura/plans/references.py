@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tessitura.functions.keys import loose_id
 from tessitura.functions.times import instant_micros, month_of, ntz_micros
 from tessitura.operators import orphans
-from tessitura.plans.registry import register
+from tessitura.plans.registry import register, sql_utc
 from tessitura.session import table
 
-_FOUND = r"""
+_FOUND = (r"""
 WITH docs AS (
   SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS k,
-         coalesce(try_cast(scraped_at AS TIMESTAMP), TIMESTAMP '0001-01-01') AS s
+         coalesce(@UTC, TIMESTAMP '0001-01-01') AS s
   FROM corpus WHERE id IS NOT NULL),
 gone AS (
   SELECT lower(regexp_replace(id, '^\s+|\s+$', '', 'g')) AS k, removed_at AS r
@@ -39,7 +39,7 @@ judged AS (
   FROM refs LEFT JOIN known ON known.k = refs.k
   LEFT JOIN born ON born.k = refs.k AND born.t = refs.t
   LEFT JOIN died ON died.k = refs.k AND died.t = refs.t)
-"""
+""").replace("@UTC", sql_utc("scraped_at"))
 
 
 @register(_FOUND + "SELECT DISTINCT * FROM judged WHERE reason IS NOT NULL")

@@ -10,6 +10,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def sql_utc(column: str) -> str:
+    """SQL for a timestamp in UTC of a lenient ISO text; null if unreadable."""
+    zone = r"'([+-]\d{2}):?(\d{2})$'"
+    hours = f"coalesce(try_cast(regexp_extract({column}, {zone}, 1) AS INT), 0)"
+    minutes = f"coalesce(try_cast(regexp_extract({column}, {zone}, 2) AS INT), 0)"
+    sign = f"CASE WHEN regexp_extract({column}, {zone}, 1) LIKE '-%' THEN -1 ELSE 1 END"
+    return rf"(try_cast(regexp_replace({column}, '(Z|[+-]\d{{2}}:?\d{{2}})$', '') AS TIMESTAMP) - to_minutes({hours} * 60 + ({sign}) * {minutes}))"
+
+
 def register(sql: str | None = None, name: str | None = None):
     """Register a query, and the SQL whose rows it must equal."""
 
@@ -37,5 +46,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("references",):
+    for module in ("references", "corpus"):
         importlib.import_module(f"tessitura.plans.{module}")
