@@ -46,5 +46,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("references", "corpus"):
+    for module in ("references", "corpus", "chunks"):
         importlib.import_module(f"tessitura.plans.{module}")
