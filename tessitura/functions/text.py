@@ -144,7 +144,7 @@ def matches_module(document: Column, module: Column) -> Column:
     """Whether an id is of a submodule: not a longer number, not a version."""
     long = F.size(F.split(module, "-")) >= 3
     prefix = F.when(long, F.lit(r"(?:rede-|s-bmodulo-)")).otherwise(F.lit(r"(?:subm|rede-)"))
-    return F.coalesce((module != "") & F.lower(document).rlike(F.concat(prefix, module, F.lit("(?![0-9a-z])"))), F.lit(False))
+    return F.coalesce((module != "") & F.rlike(F.lower(document), F.concat(prefix, module, F.lit("(?![0-9a-z])"))), F.lit(False))
 
 
 def identifiers(text: Column) -> Column:
