@@ -1,0 +1 @@
+"""Reading: partitioned tables, JSON lines, office files, vector store bundles."""

@@ -1,0 +1,113 @@
+"""Text of binary files: a registry of extractors over ``binaryFile`` rows.
+
+DOCX and XLSX are read with the standard library; other formats can be
+registered by who has a parser for them.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree as ET
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessitura.functions import html as H
+
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def docx_paragraphs(content: bytes) -> list[tuple[str, str]]:
+    """Style and text of the paragraphs that aren't blank."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    out = []
+    for p in root.iter(f"{_WORD}p"):
+        style = p.find(f"{_WORD}pPr/{_WORD}pStyle")
+        text = "".join(t.text or "" for t in p.iter(f"{_WORD}t")).strip()
+        if text:
+            out.append((style.get(f"{_WORD}val", "") if style is not None else "", text))
+    return out
+
+
+def docx_text(content: bytes) -> str:
+    return "\n\n".join(text for _, text in docx_paragraphs(content))
+
+
+def docx_markdown(content: bytes) -> str:
+    level = lambda style: int(m[1]) if (m := re.fullmatch(r"Heading(\d)", style)) else 0
+    return "\n\n".join("#" * level(s) + " " * bool(level(s)) + t for s, t in docx_paragraphs(content))
+
+
+def _sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
+    book = zipfile.ZipFile(io.BytesIO(content))
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+    names = [s.get("name", "") for s in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_SHEET}sheet")]
+    out = []
+    for i, name in enumerate(names, 1):
+        rows = []
+        for row in ET.fromstring(book.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{_SHEET}row"):
+            cells = []
+            for c in row.iter(f"{_SHEET}c"):
+                value, inline = c.find(f"{_SHEET}v"), c.find(f"{_SHEET}is")
+                text = "".join(t.text or "" for t in inline.iter(f"{_SHEET}t")) if inline is not None else (value.text or "") if value is not None else ""
+                cells.append(shared[int(text)] if c.get("t") == "s" and text else text)
+            rows.append(cells)
+        out.append((name, rows))
+    return out
+
+
+def xlsx_text(content: bytes) -> str:
+    return "\n".join(c for _, rows in _sheets(content) for row in rows for c in row if c.strip())
+
+
+def xlsx_markdown(content: bytes) -> str:
+    parts = []
+    for name, rows in _sheets(content):
+        rows = [r for r in rows if any(c.strip() for c in r)]
+        if rows:
+            width = max(map(len, rows))
+            lines = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
+            parts.append("\n".join([f"## {name}", "", lines[0], "|" + " --- |" * width, *lines[1:]]))
+    return "\n\n".join(parts)
+
+
+EXTRACTORS: dict[tuple[str, str], Callable[[bytes], str]] = {
+    ("docx", "texto"): docx_text, ("docx", "markdown"): docx_markdown, ("xlsx", "texto"): xlsx_text, ("xlsx", "markdown"): xlsx_markdown,
+}
+
+
+def extract(files: DataFrame, output: str, extractors: dict[tuple[str, str], Callable[[bytes], str]] | None = None) -> DataFrame:
+    """``path, formato, texto, qualidade_extracao, erro`` of ``binaryFile`` rows.
+
+    HTML stays in the JVM; other formats go through their extractor, batch by
+    batch. An unknown format or a damaged file gives a null text and an error.
+    """
+    if output not in ("texto", "markdown"):
+        raise ValueError(f"unknown output {output}")
+    known = EXTRACTORS if extractors is None else extractors
+    named = files.select("path", H.file_format(F.lower("path")).alias("formato"), "content")
+    page = H.decode_bytes(F.col("content"))
+    text = H.html_text(page) if output == "texto" else H.html_markdown(page)
+    html = named.where("formato = 'html'").select("path", "formato", text.alias("texto"), F.lit(None).cast("string").alias("erro"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, kind, content in batch[["path", "formato", "content"]].itertuples(index=False):
+                try:
+                    rows.append((path, kind, known[(kind, output)](content), None))
+                except KeyError:
+                    rows.append((path, kind, None, "unknown format"))
+                except Exception as e:
+                    rows.append((path, kind, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "formato", "texto", "erro"])
+
+    others = named.where("formato is null or formato <> 'html'").mapInPandas(run, "path string, formato string, texto string, erro string")
+    return html.unionByName(others).withColumn("qualidade_extracao", F.when(F.col("texto").isNotNull(), H.html_quality(F.col("texto"))))
