@@ -144,19 +144,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A text whose lines go on in the next line is wrapped: its lines' ends aren't ends.
             broken = sum(a[-1:].isalpha() and b[:1].islower() or a.endswith("-") for a, b in zip(lines, lines[1:]))
             wrapped = broken > 0.05 * (len(lines) - 1)
+            total[0] += sum(map(len, lines)) - sum(x.count(" ") for x in lines) - len(lines)
+            total[1] += 0 if wrapped else len(lines) - 1
             for i, line in enumerate(lines):
                 shape, word = openings[_opening(line)]
-                shapes.append(shape)
-                words.append(word)
-                inner.append(not wrapped and i + 1 < len(lines))
-            kept.extend(lines)
-            size = sum(map(len, lines))
-            total[0] += size - sum(x.count(" ") for x in lines) - len(lines)
-            total[1] += 0 if wrapped else len(lines) - 1
-            held += size
-            if held > _CHUNK:
-                _tally(kept, shapes, words, inner, places, ends)
-                kept, shapes, words, inner, held = [], [], [], [], 0
+                # A very long line is counted in pieces; only its last one ends.
+                for at in range(0, len(line), _CHUNK):
+                    kept.append(line[at : at + _CHUNK])
+                    shapes.append(shape)
+                    words.append(word)
+                    inner.append(not wrapped and i + 1 < len(lines) and at + _CHUNK >= len(line))
+                    held += len(kept[-1])
+                    if held > _CHUNK:
+                        _tally(kept, shapes, words, inner, places, ends)
+                        kept, shapes, words, inner, held = [], [], [], [], 0
     if kept:
         _tally(kept, shapes, words, inner, places, ends)
     kinds, numbers, values = ["totals"], [0], [total.tobytes()]
@@ -321,6 +322,7 @@ def find_cut_texts(df: DataFrame, item_col: str, text_col: str, lang_col: str, t
 def cut_shares(df: DataFrame, item_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """Per source its texts (null and blank ones left out), cut ones and their share."""
     scores = cut_scores(df, item_col, text_col, lang_col)
+    scores = scores.groupBy("item").agg(F.max("log_odds").alias("log_odds"))
     rows = df.select(df[item_col].alias("item"), df[source_col].alias(source_col)).join(scores, "item")
     cut = F.count_if(F.col("log_odds") > 0)
     return rows.groupBy(source_col).agg(F.count("*").alias("texts"), cut.alias("cut"), F.round(cut / F.count("*"), 6).alias("share"))
