@@ -187,13 +187,12 @@ def noise_class(text: Column) -> Column:
     )
 
 
-def excerpt_class(excerpt: Column, text: Column) -> Column:
-    """How an excerpt is found in a text."""
-    literal = F.contains(normalized(text), normalized(excerpt))
-    share = coverage(informative(excerpt), informative(text), 0.0)
+def excerpt_class(needle: Column, text: Column, share: Column) -> Column:
+    """How an excerpt is found in a text, both normalised; ``share`` is the
+    coverage of its informative words."""
     return (
-        F.when(F.coalesce(normalized(excerpt), F.lit("")) == "", "NOT_FOUND")
-        .when(literal, "LITERAL").when(share >= 0.60, "TOKEN").when(share >= 0.30, "LOW").otherwise("NOT_FOUND")
+        F.when(F.coalesce(needle, F.lit("")) == "", "NOT_FOUND")
+        .when(F.contains(text, needle), "LITERAL").when(share >= 0.60, "TOKEN").when(share >= 0.30, "LOW").otherwise("NOT_FOUND")
     )
 
 

@@ -24,9 +24,11 @@ NEXT_FOCUS = {
 
 
 def nearest_rank_p95(values: Column) -> Column:
-    """The value at position round-half-even(0.95 (n - 1)) of the sorted group."""
+    """The value at position round-half-even(0.95 (n - 1)) of the sorted group;
+    null for an empty one."""
     ordered = F.sort_array(F.collect_list(values))
-    return F.try_element_at(ordered, (F.bround(F.lit(0.95) * (F.size(ordered) - 1)) + 1).cast("int"))
+    place = (F.bround(F.lit(0.95) * (F.size(ordered) - 1)) + 1).cast("int")
+    return F.try_element_at(ordered, F.greatest(F.lit(1), place))
 
 
 def histogram(value: Column) -> Column:

@@ -54,7 +54,8 @@ def _partial_top(batches: Iterator[pa.RecordBatch], k: int, decimals: int) -> It
         for b in np.unique(blocks):
             rows = np.flatnonzero(blocks == b)
             rows = rows[np.argsort(items[rows], kind="stable")]
-            x = np.array(batch.column("vector").take(pa.array(rows)).to_pylist(), np.float64)
+            vectors = batch.column("vector").take(pa.array(rows))
+            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
             held = batch.column("queries")[int(rows[0])].as_py()
             q = np.array([h["vector"] for h in held], np.float64)
             if x.shape[1:] != q.shape[1:]:
@@ -62,26 +63,32 @@ def _partial_top(batches: Iterator[pa.RecordBatch], k: int, decimals: int) -> It
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             score = np.round(q @ x.T, decimals)
+            found = []
             for i, h in enumerate(held):
-                others = np.flatnonzero(items[rows] != h["query"])
-                best = others[np.argsort(-score[i][others], kind="stable")[:k]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h["query"]] * len(best), pa.int64()), pa.array(items[rows][best], pa.int64()), pa.array(score[i][best])], names=["query", "item", "score"]
-                )
+                near = np.flatnonzero(score[i] >= np.partition(score[i], -(k + 1))[-(k + 1)]) if len(rows) > k + 1 else np.arange(len(rows))
+                best = near[np.argsort(-score[i][near], kind="stable")]
+                best = best[items[rows][best] != h["query"]][:k]
+                found.append((np.full(len(best), h["query"]), items[rows][best], score[i][best]))
+            names = ["query", "item", "score"]
+            columns = [np.concatenate(c) for c in zip(*found)]
+            kinds = [batch.schema.field("queries").type.value_type.field("query").type, batch.schema.field("item").type, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, decimals: int = 9) -> DataFrame:
     """``query, item, score, rank`` of the ``k`` items of largest cosine.
 
     ``queries``: ``query, vector``; ``items``: ``item, vector``; an item is no
-    neighbour of the query of its own number.  The query set meets all items in
+    neighbour of the query that is equal to it.  The query set meets all items in
     blocks of ``QUERY_BLOCK``; every batch of items keeps ``k`` per query, so
     what is shuffled is queries x batches x k rows.
     """
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "vector")).alias("queries"))
-    met = items.select(F.col("item").cast("long").alias("item"), "vector").crossJoin(blocks)
-    partial = met.mapInArrow(lambda b: _partial_top(b, k, decimals), "query long, item long, score double")
+    # A stated query set, in blocks, against all items.
+    met = items.select("item", "vector").where("item is not null and vector is not null").crossJoin(blocks)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("query", queries), ("item", items)))
+    partial = met.mapInArrow(lambda b: _partial_top(b, k, decimals), f"{kinds}, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -96,6 +103,13 @@ def hash_embedding(df: DataFrame, key: str, text_col: str, dims: int = 64) -> Da
     return counts.select(key, "dim", (F.col("n") / F.sqrt(squares)).alias("value"))
 
 
+def dense(sparse: DataFrame, key: str, dims: int = 64) -> DataFrame:
+    """``key, vector``: sparse rows (``key, dim, value``) as arrays of ``dims`` numbers."""
+    held = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
+    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("held", d), F.lit(0.0)))
+    return sparse.groupBy(key).agg(held.alias("held")).select(key, each.alias("vector"))
+
+
 def passes_status(status: Column, excluded: tuple[str, ...] = EXCLUDED_STATUS) -> Column:
     """A null status passes."""
     return ~F.coalesce(F.lower(strip(status)).isin(*excluded), F.lit(False))

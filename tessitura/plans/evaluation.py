@@ -185,7 +185,7 @@ def sources_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""SELECT sample_id, CASE WHEN len(list_distinct(c)) > 0 THEN len(list_intersect(list_distinct(c), [l])) / len(list_distinct(c)) ELSE 0 END AS precise,
-  CASE WHEN len(c) > 0 AND contains(array_to_string(c, chr(10)), l) THEN 1.0 ELSE 0.0 END AS recalled FROM (
+  CASE WHEN len(c) > 0 AND contains(array_to_string(c, chr(10)), l) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recalled FROM (
   SELECT sample_id, coalesce(list_filter(system_output.citations, lambda x: x IS NOT NULL), []) AS c, ground_truth.citation_label AS l FROM gt_audit_passing_sample WHERE ground_truth.citation_label IS NOT NULL)""")
 def citation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "gt_audit_passing_sample").where("ground_truth.citation_label is not null")
@@ -216,23 +216,26 @@ cov AS (SELECT *, CASE WHEN len(n) = 0 THEN 0.0 ELSE len(list_filter(n, lambda x
   WHEN c >= 0.3 THEN 'LOW' ELSE 'NOT_FOUND' END AS class FROM cov""")
 def excerpt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _excerpts(spark, sf_dir)
-    share = T.coverage(T.informative(F.col("excerpt")), T.informative(F.col("texto")), 0.0)
-    return rows.select("question_id", "document_id", "metodo_extracao", F.md5("excerpt").alias("excerpt"), F.round(share, 6).alias("coverage"), T.excerpt_class(F.col("excerpt"), F.col("texto")).alias("class"))
+    return rows.select("question_id", "document_id", "metodo_extracao", F.md5("excerpt").alias("excerpt"), F.round("share", 6).alias("coverage"), T.excerpt_class(F.col("needle"), F.col("flat"), F.col("share")).alias("class"))
 
 
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "gt_questions").select("question_id", F.explode("relevant_sources").alias("s"))
     source = source.select("question_id", F.col("s.document_id").alias("document_id"), F.col("s.support_excerpt").alias("excerpt")).where("document_id is not null and excerpt is not null").distinct()
+    source = source.select("question_id", "document_id", "excerpt", T.normalized(F.col("excerpt")).alias("needle"), T.informative(F.col("excerpt")).alias("tokens"))
     docs = table(spark, sf_dir, "corpus").where("texto is not null").groupBy("id", "metodo_extracao").agg(F.max_by("texto", "registro").alias("texto"))
-    return source.join(docs, F.col("document_id") == F.col("id")).select("question_id", "document_id", "metodo_extracao", "excerpt", "texto")
+    # Only documents that a source names are tokenised, each once.
+    docs = docs.join(source.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
+    docs = docs.select("id", "metodo_extracao", T.normalized(F.col("texto")).alias("flat"))
+    joined = source.join(docs, F.col("document_id") == F.col("id"))
+    return joined.withColumn("share", T.coverage(F.col("tokens"), F.split("flat", " "), 0.0))
 
 
-@register(_AUDIT + """SELECT threshold, count(DISTINCT question_id) AS questions, count(DISTINCT question_id) FILTER (WHERE c >= threshold) AS covered
+@register(_AUDIT + """SELECT threshold::DOUBLE AS threshold, count(DISTINCT question_id) AS questions, count(DISTINCT question_id) FILTER (WHERE c >= threshold) AS covered
 FROM cov, (VALUES (0.5), (0.55), (0.6), (0.65), (0.7)) t(threshold) GROUP BY threshold""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = T.coverage(T.informative(F.col("excerpt")), T.informative(F.col("texto")), 0.0)
-    best = _excerpts(spark, sf_dir).select("question_id", share.alias("c")).groupBy("question_id").agg(F.max("c").alias("c"))
-    steps = F.explode(F.array(*(F.lit(x).cast("decimal(3,2)") for x in (0.5, 0.55, 0.6, 0.65, 0.7)))).alias("threshold")
+    best = _excerpts(spark, sf_dir).select("question_id", F.col("share").alias("c")).groupBy("question_id").agg(F.max("c").alias("c"))
+    steps = F.explode(F.array(*(F.lit(x) for x in (0.5, 0.55, 0.6, 0.65, 0.7)))).alias("threshold")
     return best.select("question_id", "c", steps).groupBy("threshold").agg(F.countDistinct("question_id").alias("questions"), F.count_if(F.col("c") >= F.col("threshold")).alias("covered"))
 
 

@@ -36,7 +36,7 @@ _PLAIN = "replace(replace(replace(replace(replace(replace({}, '&nbsp;', chr(160)
 
 @register("WITH " + _PAGE + rf""", bare AS (SELECT registro, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<style\b.*?</style>', '', 'g'), '(?is)<nav\b.*?</nav>', '', 'g'), '(?is)<footer\b.*?</footer>', '', 'g') AS html FROM pages),
 ps AS (SELECT registro, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: regexp_replace({_PLAIN.format("regexp_replace(p, '<[^>]*>', '', 'g')")}, {_EDGE}, '', 'g')), lambda t: length(t) > 10) AS ps FROM bare)
-SELECT registro, CAST(len(ps) AS INT) AS paragraphs, md5(array_to_string(ps, chr(10) || chr(10))) AS digest, CASE WHEN length(array_to_string(ps, chr(10) || chr(10))) > 1000 THEN 1.0 ELSE 0.5 END AS quality FROM ps""")
+SELECT registro, CAST(len(ps) AS INT) AS paragraphs, md5(array_to_string(ps, chr(10) || chr(10))) AS digest, CASE WHEN length(array_to_string(ps, chr(10) || chr(10))) > 1000 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS quality FROM ps""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = H.html_text(F.col("html"))
     return _pages(spark, sf_dir).select("registro", F.size(H.paragraphs(F.col("html"))).alias("paragraphs"), F.md5(text).alias("digest"), H.html_quality(text).alias("quality"))
@@ -130,7 +130,7 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 3").select("o_custkey", "o_orderkey", "o_totalprice", "r")
 
 
-@register("""SELECT user_id, sum(n) AS events, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (
+@register("""SELECT user_id, CAST(sum(n) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (
   SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY ALL) GROUP BY user_id""")
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

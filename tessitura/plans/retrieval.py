@@ -23,7 +23,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY
 def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("long").alias("query"), F.col("embedding").alias("vector"))
-    return R.exact_top_k(queries, e.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 10)
+    return R.exact_top_k(queries, e.select(F.col("vec_id").cast("long").alias("item"), F.col("embedding").alias("vector")), 10)
 
 
 @register(_KNN + "SELECT query, item, score, CAST(rank AS INT) AS rank FROM top")
@@ -118,9 +118,9 @@ def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     chunks = table(spark, sf_dir, "metadata").where("texto is not null and chunk_strategy <> 'hierarchical-child'")
     first = F.min_by(F.struct(*(c for c in chunks.columns if c not in ("chunk_id", "embedding"))), F.struct("indexed_at", "texto"))
     chunks = chunks.groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", "c.*").withColumn("document_id", loose_id(F.col("document_id")))
-    qv, cv = R.hash_embedding(queries, "query", "question"), R.hash_embedding(chunks, "chunk_id", "texto")
-    scores = qv.withColumnRenamed("value", "x").join(cv, "dim").groupBy("query", "chunk_id").agg(F.sum(F.col("x") * F.col("value")).alias("score"))
-    pool = R.best_first(scores.withColumn("score", F.round("score", 9)), R.pool_size(10, widened=True)).drop("rank")
+    qv = R.dense(R.hash_embedding(queries, "query", "question"), "query")
+    cv = R.dense(R.hash_embedding(chunks, "chunk_id", "texto"), "chunk_id").withColumnRenamed("chunk_id", "item")
+    pool = R.exact_top_k(qv, cv, R.pool_size(10, widened=True)).withColumnRenamed("item", "chunk_id").drop("rank")
     gone = R.superseded(chunks.select("document_id"))
     allowed = pool.join(chunks.select("chunk_id", "document_id", "situacao"), "chunk_id").where(R.passes_status(F.col("situacao"))).join(gone, "document_id", "left_anti")
     return queries, chunks, R.best_first(allowed.select("query", "chunk_id", "score"), 10)
