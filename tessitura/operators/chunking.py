@@ -56,8 +56,11 @@ def merge_small(blocks: Column, least: int = MIN_MERGE, most: int = STRUCTURAL[0
     made = lambda done, held, words: F.struct(done.alias("done"), held.alias("held"), words.cast("int").alias("words"))
     none, glue = F.array().cast("array<string>"), "\n\n"
 
-    def add(s: Column, block: Column) -> Column:
-        n = F.size(T.words(block))
+    # Words are counted once per block, before the fold uses the count several times.
+    counted = F.transform(blocks, lambda b: F.struct(b.alias("text"), F.size(T.words(b)).alias("n")))
+
+    def add(s: Column, counted_block: Column) -> Column:
+        block, n = counted_block["text"], counted_block["n"]
         full = (F.size(s["held"]) > 0) & (s["words"] + n > most)
         done = F.when(full, F.concat(s["done"], F.array(F.array_join(s["held"], glue)))).otherwise(s["done"])
         held = F.concat(F.when(full, none).otherwise(s["held"]), F.array(block))
@@ -74,7 +77,7 @@ def merge_small(blocks: Column, least: int = MIN_MERGE, most: int = STRUCTURAL[0
             .otherwise(F.concat(F.slice(s["done"], 1, F.size(s["done"]) - 1), F.array(last)))
         )
 
-    return F.aggregate(blocks, start, add, finish)
+    return F.aggregate(counted, start, add, finish)
 
 
 def fallback_blocks(text: Column) -> Column:
