@@ -13,12 +13,11 @@ the end.  A band value that many classes share is split over tasks.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,18 +30,9 @@ BATCHES = 4
 #: Classes of one band value that one task compares with one another.
 HOT = 2_000
 
-_WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    """64-bit hash by word."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+#: Characters that are cut into words at once.
+_CHUNK = 300_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,19 +40,86 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_set(words: list[str], store: _Words, size: int) -> np.ndarray:
+@lru_cache(maxsize=1)
+def _in_word() -> np.ndarray:
+    """By code point, whether it is a letter or digit."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+_factors = np.ones(1, np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number."""
+    global _factors
+    if len(_factors) < n:
+        steps = np.full(max(n, 2 * len(_factors)), 0xD1342543DE82EF95, np.uint64)
+        steps[0] = 1
+        _factors = np.cumprod(steps)
+    return _factors[:n]
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts in lower case, in portions of bounded size; a long text is cut between words."""
+    parts, owners, held = [], [], 0
+    for owner, text in enumerate(texts):
+        text, at = text.lower(), 0
+        while at < len(text) or not text:
+            end = min(at + _CHUNK, len(text))
+            while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+                end += 1
+            parts.append(text[at:end])
+            owners.append(owner)
+            held += end - at
+            at = end
+            if held >= _CHUNK:
+                yield parts, owners
+                parts, owners, held = [], [], 0
+            if not text:
+                break
+    if parts:
+        yield parts, owners
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Per text the 64-bit hashes of its words: unbroken runs of letters and digits, in lower case."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for parts, owners in _pieces(texts):
+        codes = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _in_word()[codes]
+        at = np.flatnonzero(inside)
+        if not len(at):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        length = np.diff(np.append(first, len(at)))
+        place = np.arange(len(at)) - np.repeat(first, length)
+        letters = _mixed(codes[at].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[place]
+        words = _mixed(np.add.reduceat(letters, first) + length.astype(np.uint64))
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        bounds = np.searchsorted(at[first], starts)
+        for i, owner in enumerate(owners):
+            out[owner].append(words[bounds[i] : bounds[i + 1]])
+    return [w[0] if len(w) == 1 else np.concatenate(w) if w else np.zeros(0, np.uint64) for w in out]
+
+
+def sequence_hash(words: np.ndarray) -> int:
+    """64-bit hash of words in order."""
+    total = np.add.reduce(_mixed(words) * _powers(len(words) + 1)[1:]) + np.uint64(len(words))
+    return int(_mixed(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct 32-bit fingerprints of the runs of ``size`` words.
 
     Two unlike runs of a pair of texts of 300 runs each share a fingerprint
     with probability 2e-5, which moves a similarity by 0.002.
     """
-    w = np.fromiter(map(store.__getitem__, words), np.uint64, len(words))
-    n = len(w) - size + 1
+    n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint32)
-    run = w[:n]
+    run = words[:n]
     for i in range(1, size):
-        run = _mixed(run) + w[i : i + n]
+        run = _mixed(run) + words[i : i + n]
     return np.unique((_mixed(run) >> np.uint64(32)).astype(np.uint32))
 
 
@@ -75,18 +132,19 @@ def _min_hashes(items: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.
     flip, factor = family
     least = np.full(len(flip), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(items), 4096):
-        least = np.minimum(least, ((items[None, at : at + 4096] ^ flip) * factor).min(axis=1))
+        hashed = items[None, at : at + 4096] ^ flip
+        hashed *= factor
+        np.minimum(least, hashed.min(axis=1), out=least)
     return least
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    store, family = _Words(), _family(bands * rows + 64 * BATCHES, 7)
+    family = _family(bands * rows + 64 * BATCHES, 7)
     number = np.arange(bands, dtype=np.uint64)
     for batch in batches:
         out = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = _WORD.findall(text.as_py().lower())
-            items = shingle_set(words, store, size)
+        for i, words in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist())):
+            items = shingle_set(words, size)
             if not len(items):
                 continue
             least = _min_hashes(items, family)
@@ -94,12 +152,12 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
             for r in range(rows):
                 value = _mixed(value) + least[r * bands : (r + 1) * bands]
             bits = np.packbits(((least[bands * rows :] * np.uint32(0x85EBCA6B)) >> np.uint32(31)).astype(bool)).view(np.int64)
-            out.append((i, xxhash.xxh3_64_intdigest("\x1f".join(words).encode("utf-8", "surrogatepass")), _mixed(value).view(np.int64), bits))
+            out.append((i, sequence_hash(words), _mixed(value).view(np.int64), bits))
         ids, classes, values, bits = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.string()),
-                pa.array(np.array(classes, np.uint64).view(np.int64)),
+                pa.array(classes, pa.int64()),
                 pa.ListArray.from_arrays(np.arange(0, bands * len(out) + 1, bands, dtype=np.int32), np.concatenate(values) if out else np.zeros(0, np.int64)),
                 *(pa.array(np.array([b[k] for b in bits], np.int64)) for k in range(BATCHES)),
             ],
@@ -108,16 +166,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    store = _Words()
     for batch in batches:
         classes, sets = [], []
-        for text in batch.column(0):
-            words = _WORD.findall(text.as_py().lower())
-            items = shingle_set(words, store, size)
+        for words in word_hashes(batch.column(0).to_pylist()):
+            items = shingle_set(words, size)
             if len(items):
-                classes.append(xxhash.xxh3_64_intdigest("\x1f".join(words).encode("utf-8", "surrogatepass")))
+                classes.append(sequence_hash(words))
                 sets.append(items.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(classes, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["cls", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "items"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,22 @@ def test_groups(spark):
     assert got["s3"] == "s0"
 
 
+def test_words_are_those_of_the_pattern(monkeypatch):
+    texts = ["Um texto, 2º e três: água_fria İstanbul", "", "...", "a" * 50 + " b", "電力 Ω≥µ x²", "um\ntexto\n2º", "fim ﬁm e\u0301"]
+    for chunk in (300_000, 7, 1):
+        monkeypatch.setattr(N, "_CHUNK", chunk)
+        hashed = N.word_hashes(texts)
+        words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+        assert [len(h) for h in hashed] == [len(w) for w in words]
+        table = {}
+        for h, w in zip(hashed, words):
+            for a, b in zip(h.tolist(), w):
+                assert table.setdefault(b, a) == a
+        assert len(set(table.values())) == len(table)
+    a, b = N.word_hashes(["um dois três", "dois um três"])
+    assert N.sequence_hash(a) != N.sequence_hash(b) == N.sequence_hash(N.word_hashes(["DOIS, um; três!"])[0])
+
+
 def test_bounds_and_empty(spark):
     least = N.least_matches(0.5, 0.001)
     assert len(least) == N.BATCHES and all(64 * (k + 1) * 0.5 <= m < 64 * (k + 1) * 0.75 for k, m in enumerate(least))
