@@ -24,6 +24,8 @@ from tessitura.session import materialize
 #: Bytes that a copy may add to its question, and the share of the question it must repeat.
 NEW_BYTES, REPEATED_SHARE = 10, 0.6
 
+#: Words of another language, beyond twice those of the question's, that make an answer foreign.
+LEAST_FOREIGN = 2
 #: Shorter answers aren't judged by their end.
 LEAST_WORDS = 4
 
@@ -49,7 +51,7 @@ REFUSALS = re.compile(
 # Frequent words of one language that are none in the others, with accents.
 LANGUAGE_WORDS = {
     "pt": "o os ao aos à às do dos da das no na nos nas pelo pela pelos pelas um uma uns é são não com em que deverá poderá foram aquela aquele observado antes sem quando houver disposto limitado sobre após entende-se considera-se compete fica vedado cabe facultado valor prazo termos contar partir mediante inclusive salvo desde como quem qual quais explique relação entre estabelece permitido casos pode há sua seu até",
-    "es": "el los las del al un una y es son con en sin que según deberá podrá cuando resulte hay antes necesario luego aviso previo plazo hábiles muestran aunque también influye fue fijado ciento usuarios servicio artículo puede esta este pero qué cómo quién cuál",
+    "es": "el los las del al un una y es son con en sin que según deberá podrá cuando resulte hay antes necesario luego aviso previo plazo hábiles muestran aunque también influye fue fijado ciento usuarios servicio artículo puede esta este pero qué cómo quién cuál cuándo debe debería puede pueden según para quien servicio",
     "en": "the of and to is must be within days whenever shall each it was set at which covers this only from show how changed after unless has been paid may used any up percent section applies according by for in what who when does under an",
     "fr": "le les la des du un une et est sont dans en pour que selon doit lorsque faut avant délai jours l'article montrent été par insuffisante insuffisant c'est régler notifier où sur avec qui ne pas prise compte",
 }
@@ -59,10 +61,12 @@ OPEN_WORDS = frozenset(
     "the of and or to in an by at for from with which whose el la los las del al y en un una con sin según le les la du des et ou dans par pour sur".split()
 )
 OPEN_SHORT = frozenset("art. arts. nº n.º inc. § p. ex. al.".split())
-_WORDS: dict[str, set[str]] = {}
+# Words that several languages share decide nothing.
+_SHARED = frozenset("que no en la las un a à de se antes aviso sobre entre desde sin con para quien puede limitado me est".split())
+_WORDS: dict[str, str] = {}
 for _lang, _list in LANGUAGE_WORDS.items():
-    for _word in _list.split():
-        _WORDS.setdefault(_word, set()).add(_lang)
+    for _word in set(_list.split()) - _SHARED:
+        _WORDS[_word] = "" if _word in _WORDS else _lang
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _QUOTED = re.compile(r"[“\"«][^”\"»]{0,200}[”\"»]")
@@ -88,6 +92,18 @@ def unwrapped(answer: str) -> str:
     return text[m.end() :] if m else answer
 
 
+def is_broken_object(answer: str | None) -> bool:
+    """Begins as a JSON object that isn't closed."""
+    text = (answer or "").strip()
+    if not re.match(r'\{\s*"', text):
+        return False
+    try:
+        json.loads(text)
+        return False
+    except ValueError:
+        return not text.endswith("}")
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
@@ -109,7 +125,8 @@ def _flat(text: str) -> str:
 
 def is_copy(question: str | None, answer: str) -> bool:
     q, a = _flat(question or ""), _flat(_TAG.sub("", answer))
-    if len(q) < 8 or len(a) < REPEATED_SHARE * len(q) or len(a) > 4 * len(q) + 40:
+    asked, given = q.split(), set(a.split())
+    if len(q) < 8 or sum(w in given for w in asked) < REPEATED_SHARE * len(asked) or len(a) > 4 * len(q) + 40:
         return False
     return new_bytes(q, a) <= NEW_BYTES
 
@@ -118,14 +135,12 @@ def is_refusal(answer: str) -> bool:
     return bool(REFUSALS.search(plain(answer).replace("’", "'")))
 
 
-def language(text: str) -> dict[str, float]:
-    """Words of each language, those shared by several divided among them."""
-    score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
+def language(text: str) -> dict[str, int]:
+    """How many words of the text each language has for itself; quotations don't count."""
+    score = dict.fromkeys(LANGUAGE_WORDS, 0)
     for word in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", _QUOTED.sub(" ", text.lower())):
-        for part in {word, word.split("'")[0] + "'"} if "'" in word else (word,):
-            own = _WORDS.get(part, ())
-            for lang in own:
-                score[lang] += 1 / len(own)
+        if lang := _WORDS.get(word, ""):
+            score[lang] += 1
     return score
 
 
@@ -139,7 +154,7 @@ def is_other_language(question: str | None, answer: str) -> bool:
     asked = main_language(question or "")
     score = language(answer)
     best = max(score, key=score.get)
-    return bool(asked) and best != asked and score[best] >= 3 and score[best] >= 2 * score[asked]
+    return bool(asked) and best != asked and score[best] >= 2 * score[asked] + LEAST_FOREIGN
 
 
 def is_left_open(answer: str) -> bool:
@@ -155,6 +170,7 @@ def is_left_open(answer: str) -> bool:
 def defect(question: str | None, answer: str | None) -> str:
     """The defect that needs no end-of-text model, or '': of cut answers those
     that an open word or bracket gives away."""
+    broken = is_broken_object(answer)
     answer = unwrapped(answer) if answer else answer
     if is_empty(answer):
         return "empty"
@@ -164,7 +180,7 @@ def defect(question: str | None, answer: str | None) -> str:
         return "refusal"
     if is_other_language(question, answer):
         return "other_language"
-    if is_left_open(answer):
+    if broken or is_left_open(answer):
         return "truncated"
     return ""
 

@@ -65,6 +65,7 @@ Q = "Qual é o prazo para revisar o contrato anual do operador?"
         ("Infelizmente, não posso responder a esta pergunta.", "refusal"), ("I'm sorry, but I cannot answer this.", "refusal"), ("Lo siento, no puedo responder a esa pregunta.", "refusal"), (f"Não encontrei base para responder ({Q[:-1]}).", "refusal"),
         ("The operator must review the contract within 30 days of the notice.", "other_language"), ("El operador deberá revisar el contrato en un plazo de 30 días hábiles según la norma.", "other_language"),
         ("O operador deverá revisar o contrato no prazo de", "truncated"), ("O operador deverá revisar o contrato (conforme o", "truncated"), ("O contrato é revisto nos termos do Art.", "truncated"),
+        ('{"answer": "O operador deverá revisar o contra', "truncated"), ('{"answer": "O prazo é de 30 dias."}', ""), ("Hay que revisar el contrato antes de que la red entre en servicio.", "other_language"),
         ("86 dias", ""), ("Não", ""), ("Art. 21, § 8º", ""), ("Não é possível revisar o contrato sem o gerador, pois o art. 5 veda o desconto.", ""),
         ("O termo em inglês “annual dispatch” designa o período anual do contrato.", ""), ("A norma não informa o prazo, mas determina que o operador deve revisar o contrato.", ""),
         ("Quanto a o prazo para revisar o contrato anual do operador: O prazo é de 30 dias, observado o art. 9.", ""),
@@ -74,6 +75,12 @@ def test_defects(answer, label):
     assert A.defect(Q, answer) == label
 
 
+def test_language_of_questions():
+    spanish = "¿Cuándo se debe reemplazar la auditoría según la demanda?"
+    assert A.main_language(spanish) == "es" and A.defect(spanish, "El operador deberá revisar la auditoría en un plazo de 9 días hábiles.") == ""
+    assert A.main_language("Quel délai faut-il pour régler la facture ?") == "fr" and A.main_language("Who must review the demand?") == "en" and A.main_language(Q) == "pt"
+
+
 def test_pairs_in_spark(spark):
     rng = random.Random(2)
     rows = [(i, f"{Q} {i % 40}", sentence(rng) + " " + sentence(rng)) for i in range(600)]
