@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessitura.session import materialize
 
@@ -224,6 +225,36 @@ def usable_vectors(df: DataFrame, item_col: str, model_col: str, vector_col: str
     return rows.select("model", "item", "vector")
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal vectors of a model are one class: its representatives (``model,
+    item, vector``, the smallest item), and the members of those with several
+    (``model, rep, item``). However many copies a vector has, it is searched once."""
+    value = F.xxhash64("vector").alias("value")
+    each = rows.groupBy("model", value).agg(F.min("item").alias("item"), F.max("item").alias("last"), F.first("vector").alias("vector"))
+    each = materialize(each, "vectors")
+    several = each.where("item <> last").select("model", "value", F.col("item").alias("rep"))
+    members = rows.select("model", "item", value).join(several, ["model", "value"]).select("model", "rep", "item").distinct()
+    return each.select("model", "item", "vector"), materialize(members, "copies")
+
+
+def _with_copies(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Neighbour lists of representatives, made lists of all items: in place of
+    a class stand its ``k`` + 1 smallest members, and its own are neighbours too."""
+    first = members.withColumn("r", F.row_number().over(Window.partitionBy("model", "rep").orderBy("item"))).where(F.col("r") <= k + 1)
+    held = materialize(first.groupBy(F.col("model").alias("m"), F.col("rep").alias("n")).agg(F.sort_array(F.collect_list("item")).alias("held")), "held")
+    own = F.array(F.struct(F.lit(-1.0).alias("far"), F.col("item").alias("item")))
+    each = near.select("model", "item", F.explode(F.concat("near", own)).alias("x")).select("model", "item", "x.far", F.col("x.item").alias("other"))
+    each = each.join(held, (F.col("model") == F.col("m")) & (F.col("other") == F.col("n")), "left")
+    listed = F.transform(F.coalesce("held", F.array("other")), lambda i: F.struct(F.col("far").alias("far"), i.alias("item")))
+    # Still partitioned by model and item: no further shuffle.
+    lists = each.select("model", "item", listed.alias("near")).groupBy("model", "item").agg(F.flatten(F.collect_list("near")).alias("near"))
+    lists = lists.select("model", "item", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
+    single = lists.join(members.select("model", F.col("rep").alias("item")).distinct(), ["model", "item"], "left_anti")
+    several = members.join(lists.withColumnRenamed("item", "rep"), ["model", "rep"]).select("model", "item", "near")
+    both = single.unionByName(several)
+    return both.select("model", "item", F.slice(F.filter("near", lambda x: x["item"] != F.col("item")), 1, k).alias("near"))
+
+
 def most_similar(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5) -> DataFrame:
     """``model, item, near``: for each item its ``k`` most similar others of
     the same model as ``array<struct<far double, item string>>``, nearest
@@ -234,7 +265,7 @@ def most_similar(df: DataFrame, item_col: str, model_col: str, vector_col: str,
     repeated items count once; a model with one item gives it an empty list; an
     empty table gives no rows.
     """
-    rows = usable_vectors(df, item_col, model_col, vector_col, time_col)
+    rows, members = _classes(usable_vectors(df, item_col, model_col, vector_col, time_col))
     counts = {r["model"]: r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}
     routers, dims = {}, {}
     for model, n in counts.items():
@@ -258,7 +289,8 @@ def most_similar(df: DataFrame, item_col: str, model_col: str, vector_col: str,
     visits = rows.mapInArrow(lambda b: _routed(b, routers, blocks), "model string, part int, block int, indexed boolean, item string, vector array<float>")
     found = visits.groupBy("model", "part", "block").applyInArrow(lambda cell: _search(cell, k, dims), "model string, item string, near array<struct<far double, item string>>")
     merged = found.groupBy("model", "item").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return merged.select("model", "item", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    near = merged.select("model", "item", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    return near if members.isEmpty() else _with_copies(near, members, k)
 
 
 def similar_pairs(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5) -> DataFrame:

@@ -64,6 +64,15 @@ def test_many_equal_vectors(spark):
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_copies_among_others(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 4)).astype(np.float32)
+    rows = [(f"v{i:03}", "m-4", base[i % 40].tolist()) for i in range(90)]  # twice or thrice each
+    rows += [(f"x{i:03}", "m-4", (3 * base[i]).tolist()) for i in range(10)]  # same direction, other length
+    rows += [(f"h{i:03}", "m-4", base[0].tolist()) for i in range(60)] + rows[:7]
+    assert pairs(spark, rows) == brute(rows)
+
+
 def test_last_of_unlike_rows_and_empty(spark):
     rows = made(50)
     df = frame(spark, rows)
