@@ -144,3 +144,35 @@ def question_asymmetry(results: DataFrame, pairs: DataFrame) -> DataFrame:
     b = pairs.join(ids, F.col("after") == F.col("config")).select("pair", "question_id", F.lit(True).alias("has_after"))
     both = a.join(b, ["pair", "question_id"], "full_outer").where("has_before is null or has_after is null")
     return both.select("pair", "question_id", F.when(F.col("has_before").isNull(), "after").otherwise("before").alias("side"))
+
+
+def article_hit(found: Column, expected: Column) -> Column:
+    """1 if any ``document::article`` is among the expected ones; nulls are ignored."""
+    return F.coalesce(F.arrays_overlap(F.array_compact(found), F.array_compact(expected)), F.lit(False)).cast("double")
+
+
+def status_accuracy(statuses: Column, expected: Column) -> Column:
+    """Share of the contexts that have the expected status, whatever its case; 0 without one."""
+    same = F.filter(statuses, lambda s: F.lower(s) == F.lower(expected))
+    return F.when(F.coalesce(expected, F.lit("")) == "", 0.0).when(F.size(statuses) == 0, 0.0).otherwise(F.size(same) / F.size(statuses))
+
+
+def hard_break(before: Column, after: Column, doc_before: Column, doc_after: Column) -> Column:
+    """Usable before and not after while document recall fell; unknown recall counts as fallen."""
+    return before & ~after & F.coalesce(doc_after < doc_before - 1e-9, F.lit(True))
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows in an order that depends on key and seed only: a sampling operator."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def fingerprint(*columns: str) -> Column:
+    """Digest of named values in the order of their names: equal settings, equal digest."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def run_manifest(run_id: str, metrics: DataFrame, configs: DataFrame, label: str = "config") -> DataFrame:
+    """``run_id, manifest``: the metrics of a run's configurations with their settings, as JSON."""
+    joined = metrics.join(configs.withColumnRenamed("label", label), label)
+    return joined.select(F.lit(run_id).alias("run_id"), F.to_json(F.struct(*joined.columns)).alias("manifest"))

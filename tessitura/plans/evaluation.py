@@ -261,3 +261,31 @@ def ground_truth_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = q.select(F.explode(F.array_compact(F.array(*row))).alias("rule"))
     errors = errors.unionByName(q.select(F.explode("relevant_sources").alias("s")).select(F.explode(F.array_compact(F.array(*source))).alias("rule")))
     return errors.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@register("""SELECT query_type, coalesce(difficulty, 'none') AS difficulty, count(*) AS questions, count(*) FILTER (WHERE coalesce(nullif(answerability, ''), 'corpus_supported') = 'corpus_supported') AS evaluable,
+  count(DISTINCT expected_answer) AS answers FROM gt_questions GROUP BY ALL""")
+def question_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(T.or_null(F.col("answerability")), F.lit("corpus_supported"))
+    return table(spark, sf_dir, "gt_questions").groupBy("query_type", F.coalesce("difficulty", F.lit("none")).alias("difficulty")).agg(
+        F.count("*").alias("questions"), F.count_if(kind == "corpus_supported").alias("evaluable"), F.countDistinct("expected_answer").alias("answers"))
+
+
+_ANSWER_COVER = _TOKENS("ground_truth.expected_answer")
+
+
+@register(f"""SELECT sample_id, CASE WHEN len(n) = 0 THEN 1.0::DOUBLE ELSE round(len(list_filter(n, lambda x: list_contains(h, x))) / len(n), 6) END AS covered FROM (
+  SELECT sample_id, {_ANSWER_COVER} AS n, {_TOKENS('system_output.generated_answer')} AS h FROM gt_audit_passing_sample
+  WHERE ground_truth.expected_answer IS NOT NULL AND system_output.generated_answer IS NOT NULL)""")
+def answer_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the expected answer's informative words that the generated one has."""
+    rows = table(spark, sf_dir, "gt_audit_passing_sample").where("ground_truth.expected_answer is not null and system_output.generated_answer is not null")
+    share = T.coverage(T.informative(F.col("ground_truth.expected_answer")), T.informative(F.col("system_output.generated_answer")), 1.0)
+    return rows.select("sample_id", F.round(share, 6).alias("covered"))
+
+
+@register("""SELECT sample_id, coalesce(list_contains(list_filter(system_output.citations, lambda x: x IS NOT NULL), ground_truth.citation_label), FALSE)::DOUBLE AS hit FROM gt_audit_passing_sample""")
+def citation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "gt_audit_passing_sample")
+    none = F.array().cast("array<string>")
+    return rows.select("sample_id", E.article_hit(F.coalesce("system_output.citations", none), F.array("ground_truth.citation_label")).alias("hit"))

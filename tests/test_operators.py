@@ -87,3 +87,17 @@ def test_pairing(spark):
     v = E.verdicts(paired).first()
     assert (v.saved, v.broken, v.verdict, v.reasons) == (1, 1, "keep", "saved_below_twice_broken")
     assert [tuple(r) for r in E.question_asymmetry(results, pairs).collect()] == [("a > b", "only", "before")]
+
+
+def test_small_scores(spark):
+    df = spark.createDataFrame([(["a::1", None], ["a::1"], ["Vigente", "x"], "vigente"), ([None], ["a::1"], [], "vigente"), ([], [], ["x"], None)], "f array<string>, e array<string>, s array<string>, w string")
+    got = df.select(E.article_hit(df.f, df.e).alias("hit"), E.status_accuracy(df.s, df.w).alias("status")).collect()
+    assert [tuple(r) for r in got] == [(1.0, 0.5), (0.0, 0.0), (0.0, 0.0)]
+    t = spark.createDataFrame([(True, False, 1.0, 0.5), (True, False, 1.0, 1.0), (True, False, None, 1.0), (False, False, 1.0, 0.0)], "b boolean, a boolean, x double, y double")
+    assert [r.h for r in t.select(E.hard_break(t.b, t.a, t.x, t.y).alias("h")).collect()] == [True, False, True, False]
+    ids = spark.range(100)
+    assert E.seeded_sample(ids, "id", 5).collect() == E.seeded_sample(ids.repartition(7), "id", 5).collect() != E.seeded_sample(ids, "id", 5, 1).collect()
+    both = spark.createDataFrame([(1, None)], "a int, b string")
+    assert both.select(E.fingerprint("a", "b")).first()[0] == both.select(E.fingerprint("b", "a")).first()[0]
+    m = E.run_manifest("r1", spark.createDataFrame([("c", 0.5)], "config string, recall double"), spark.createDataFrame([("c", True)], "label string, rerank boolean"))
+    assert m.first().manifest == '{"config":"c","recall":0.5,"rerank":true}'
