@@ -248,7 +248,8 @@ def _with_copies(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     listed = F.transform(F.coalesce("held", F.array("other")), lambda i: F.struct(F.col("far").alias("far"), i.alias("item")))
     # Still partitioned by model and item: no further shuffle.
     lists = each.select("model", "item", listed.alias("near")).groupBy("model", "item").agg(F.flatten(F.collect_list("near")).alias("near"))
-    lists = lists.select("model", "item", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
+    # Read twice below, searched once.
+    lists = materialize(lists.select("model", "item", F.slice(F.array_sort("near"), 1, k + 1).alias("near")), "near")
     single = lists.join(members.select("model", F.col("rep").alias("item")).distinct(), ["model", "item"], "left_anti")
     several = members.join(lists.withColumnRenamed("item", "rep"), ["model", "rep"]).select("model", "item", "near")
     both = single.unionByName(several)
