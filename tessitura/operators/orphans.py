@@ -5,7 +5,9 @@ ranges need no sampling and are even whatever the keys look like.  Per range
 the parents become sorted arrays, references arrive as batches and are probed
 by binary search; only misses leave the task.  A range that many references
 hit (one hot key may hold a third of them) is split by reference, and its
-parents go to every split.
+parents go to every split; a range of many parents (one id may be collected
+again and again) is cut into blocks, every reference visits them all, and the
+last times found are put together.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from tessitura.functions.times import FIRST_INSTANT
 #: Keys of a range and references of a split, on average.
 RANGE_ROWS = 32_768
 
-_OUT = "ref_table string, ref_key string, document_id string, period string, reason string"
+_PROBED = "ref_table string, ref_key string, document_id string, period string, time bigint, reason string, known boolean, scraped bigint, removed bigint"
 
 
 def _last_at_or_before(key_of: np.ndarray, times: np.ndarray, ref_key: np.ndarray, ref_time: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,27 +42,38 @@ def _last_at_or_before(key_of: np.ndarray, times: np.ndarray, ref_key: np.ndarra
 
 
 def _probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
+    """Misses, where the range is one block; else what this block knows of each reference."""
+    columns = [c.split()[0] for c in _PROBED.split(", ")]
     if refs.empty:
-        return pd.DataFrame(columns=["ref_table", "ref_key", "document_id", "period", "reason"])
-    held = parents[parents["born"].to_numpy(bool)]
-    gone = parents[~parents["born"].to_numpy(bool)]
-    keys = np.unique(held["key"].to_numpy(str)) if len(held) else np.zeros(0, "U1")
+        return pd.DataFrame(columns=columns)
+    born = parents["born"].to_numpy(bool)
+    names, times = parents["key"].to_numpy(str), parents["time"].to_numpy(np.int64)
+    keys = np.unique(names) if len(names) else np.zeros(0, "U1")
+    own = np.searchsorted(keys, names)
+    exists = np.zeros(len(keys), bool)
+    exists[own[born]] = True
     wanted = refs["key"].to_numpy(str)
     at = np.searchsorted(keys, wanted)
-    known = np.zeros(len(wanted), bool)
     inside = at < len(keys)
-    known[inside] = keys[at[inside]] == wanted[inside]
-    time = refs["time"].fillna(0).to_numpy(np.int64)
-    timed = refs["time"].notna().to_numpy()
+    inside[inside] = keys[at[inside]] == wanted[inside]
+    at = np.where(inside, at, -1)
+    known = inside.copy()
+    known[inside] = exists[at[inside]]
     # A reference without time is after nothing.
-    probe_time = np.where(timed, time, FIRST_INSTANT - 1)
-    at = np.where(known, at, -1)
-    scraped, present = _last_at_or_before(np.searchsorted(keys, held["key"].to_numpy(str)), held["time"].to_numpy(np.int64), at, probe_time)
-    gone = gone[np.isin(gone["key"].to_numpy(str), keys)] if len(gone) else gone
-    removed, withdrawn = _last_at_or_before(np.searchsorted(keys, gone["key"].to_numpy(str)), gone["time"].to_numpy(np.int64), at, probe_time)
+    timed = refs["time"].notna().to_numpy()
+    time = np.where(timed, refs["time"].fillna(0).to_numpy(np.int64), FIRST_INSTANT - 1)
+    scraped, present = _last_at_or_before(own[born], times[born], at, time)
+    removed, withdrawn = _last_at_or_before(own[~born], times[~born], at, time)
+    out = refs[["ref_table", "ref_key", "period"]].assign(document_id=refs["key"])
+    if refs["blocks"].iloc[0] > 1:
+        maybe = lambda values, there: pd.array(np.where(there, values, 0), dtype="Int64").copy()
+        last, gone = maybe(scraped, present), maybe(removed, withdrawn)
+        last[~present] = pd.NA
+        gone[~withdrawn] = pd.NA
+        return out.assign(time=refs["time"], reason=None, known=known, scraped=last, removed=gone)[columns]
     reason = np.where(~known, "missing", np.where(~present, "late", np.where(withdrawn & (removed >= scraped), "deleted", "")))
-    out = refs[["ref_table", "ref_key"]].assign(document_id=refs["key"], period=refs["period"], reason=reason)
     # All rows of one reference are in this split, so this makes them distinct.
+    out = out.assign(time=None, reason=reason, known=None, scraped=None, removed=None)[columns]
     return out[reason != ""].drop_duplicates()
 
 
@@ -90,12 +103,23 @@ def orphan_references(refs: DataFrame, parents: DataFrame, removals: DataFrame,
     in_range = F.shiftright(F.shiftrightunsigned(F.xxhash64("key"), 33) * n_ranges, 31).cast("int")
     refs, both = refs.withColumn("range", in_range), both.withColumn("range", in_range)
 
-    # How many splits a range needs; one row per range.
-    splits = refs.groupBy("range").agg(F.ceil(F.count("*") / range_rows).cast("int").alias("splits"))
+    # How many splits and blocks a range needs; one row per range.
+    needed = lambda df, name: df.groupBy("range").agg(F.ceil(F.count("*") / range_rows).cast("int").alias(name))
+    sizes = needed(refs, "splits").join(needed(both, "blocks"), "range", "left").select("range", "splits", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     split = F.pmod(F.xxhash64("ref_table", "ref_key"), F.col("splits")).cast("int").alias("split")
-    left = refs.join(splits, "range").select("range", split, "ref_table", "ref_key", "key", "time", "period")
-    right = both.join(splits, "range").select("range", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "key", "time", "born")
-    return left.groupBy("range", "split").cogroup(right.groupBy("range", "split")).applyInPandas(_probe, _OUT)
+    block = F.pmod(F.xxhash64("key", "time", "born"), F.col("blocks")).cast("int").alias("block")
+    left = refs.join(sizes, "range").select("range", split, every("blocks").alias("block"), "blocks", "ref_table", "ref_key", "key", "time", "period")
+    right = both.join(sizes, "range").select("range", every("splits").alias("split"), block, "key", "time", "born")
+    group = ("range", "split", "block")
+    probed = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(_probe, _PROBED)
+    one = probed.groupBy("ref_table", "ref_key", "document_id", "period", "time").agg(
+        F.bool_or("known").alias("known"), F.max("scraped").alias("scraped"), F.max("removed").alias("removed"), F.collect_set("reason").alias("reasons")
+    )
+    judged = F.when(~F.col("known"), "missing").when(F.col("scraped").isNull(), "late").when(F.col("removed") >= F.col("scraped"), "deleted")
+    # References of one period may be orphans for several reasons, at several times.
+    reasons = F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array_compact(F.array(judged)))
+    return one.select("ref_table", "ref_key", "document_id", "period", F.explode(reasons).alias("reason")).distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

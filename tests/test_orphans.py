@@ -51,6 +51,13 @@ def test_equals_brute_force(spark):
         assert run(spark, refs, parents, removals, range_rows=10) == brute(refs, parents, removals)
 
 
+def test_one_parent_collected_many_times(spark):
+    refs = [("a", f"r{i}", k, t, "2024-01") for i in range(40) for k in ("hot", "gone") for t in (None, 5, 50, 400)]
+    parents = [("hot", t) for t in range(10, 300)] + [("gone", 1)]
+    removals = [("hot", 350), ("gone", 1), ("never", 2)]
+    assert run(spark, refs, parents, removals, range_rows=20) == brute(refs, parents, removals)
+
+
 def test_empty_tables(spark):
     refs, parents, removals = made(7)
     assert run(spark, refs, [], removals) == brute(refs, [], removals)
