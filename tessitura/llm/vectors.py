@@ -6,7 +6,7 @@ It routes every vector of the collection to its most probable part, where it is
 indexed, and as a query to every part that is probable enough.  Within a part
 all queries meet all indexed vectors in one matrix product in double precision;
 the best of all parts are merged.  A part that is too large for one task is cut
-into blocks, and its queries visit them all.
+into blocks, and its queries, cut into shards, visit them all.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 
 from tessitura.session import materialize
 
-#: Vectors a part holds on average, and at most in a block.
+#: Vectors a part holds on average, and at most in a block or a shard of queries.
 PART_ROWS, BLOCK_ROWS = 2_500, 8_192
 MAX_PARTS = 4_096
+#: Rows of a batch that goes to the cells.
+BATCH_ROWS = 16_384
 #: The sample, per part and at most per collection.
 SAMPLE_PER_PART, MAX_SAMPLE = 160, 40_960
 #: A query visits parts of at least this probability, ``LEAST_PROBES`` to ``MOST_PROBES`` of them.
@@ -129,31 +131,49 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _routed(batches: Iterator[pa.RecordBatch], routers: dict, blocks: dict | None) -> Iterator[pa.RecordBatch]:
-    """The part of each vector; with ``blocks`` a row for each block that it visits."""
+def _counted(batches: Iterator[pa.RecordBatch], routers: dict) -> Iterator[pa.RecordBatch]:
+    """How many vectors of each batch are indexed in a part, and how many visit it."""
     for batch in batches:
         models = batch.column(0).to_pylist()
         for model in set(models):
-            rows = np.array([m == model for m in models])
-            own = batch.filter(pa.array(rows))
-            x = _unit(_matrix(own.column(2), len(routers[model][0])))
-            top, visited = route(x, routers[model])
-            if blocks is None:
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(top[:, 0].astype(np.int32))], names=["model", "part"])
-                continue
-            of_part = np.array(blocks[model])
-            home = np.array([xxhash.xxh3_64_intdigest(c) for c in own.column(1).to_pylist()], np.uint64) % of_part[top[:, 0]].astype(np.uint64)
-            row, probe = np.nonzero(visited)
-            part = top[row, probe]
-            repeat = of_part[part]
-            row, probe, part = np.repeat(row, repeat), np.repeat(probe, repeat), np.repeat(part, repeat)
-            block = np.arange(len(part)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            indexed = (probe == 0) & (block == home[row].astype(np.int64))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [own.column(0).take(take), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(indexed), own.column(1).take(take), own.column(2).take(take)],
-                names=["model", "part", "block", "indexed", "item", "vector"],
-            )
+            own = batch.filter(pa.array([m == model for m in models]))
+            top, visited = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model])
+            parts = routers[model][0].shape[1]
+            n, visits = np.bincount(top[:, 0], minlength=parts), np.bincount(top[visited], minlength=parts)
+            seen = np.flatnonzero(visits)
+            yield pa.RecordBatch.from_arrays([pa.array([model] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen]), pa.array(visits[seen])], names=["model", "part", "n", "visits"])
+
+
+def _routed(batches: Iterator[pa.RecordBatch], routers: dict, cells: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each cell (part, block, shard) that a vector is in: as a query
+    in its shard with all blocks of the parts it visits, indexed in its block
+    with all shards. ``cells`` holds the blocks and shards of each part."""
+    for batch in batches:
+        models = batch.column(0).to_pylist()
+        for model in set(models):
+            own = batch.filter(pa.array([m == model for m in models]))
+            top, visited = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model])
+            blocks, shards = (np.array(c) for c in cells[model])
+            hashed = np.array([xxhash.xxh3_64_intdigest(c) for c in own.column(1).to_pylist()], np.uint64)
+            home = (hashed % blocks[top[:, 0]].astype(np.uint64)).astype(np.int64)
+            rows, probes = np.nonzero(visited)
+            repeats = blocks[top[rows, probes]] + np.where(probes == 0, shards[top[rows, probes]] - 1, 0)
+            pieces = np.flatnonzero(np.diff(np.cumsum(repeats) // BATCH_ROWS)) + 1
+            for row, probe, repeat in zip(*(np.split(x, pieces) for x in (rows, probes, repeats))):
+                at = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+                row, probe = np.repeat(row, repeat), np.repeat(probe, repeat)
+                part = top[row, probe]
+                # First its blocks as a query, then the other shards of its own block.
+                asks = at < blocks[part]
+                block = np.where(asks, at, home[row])
+                shard = (hashed[row] % shards[part].astype(np.uint64)).astype(np.int64)
+                shard = np.where(asks, shard, (shard + 1 + at - blocks[part]) % shards[part])
+                indexed = (probe == 0) & (block == home[row])
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), *(pa.array(x.astype(np.int32)) for x in (part, block, shard)), pa.array(indexed), pa.array(asks), own.column(1).take(take), own.column(2).take(take)],
+                    names=["model", "part", "block", "shard", "indexed", "asks", "item", "vector"],
+                )
 
 
 def _search(cell: pa.Table, k: int, dims: dict) -> pa.Table:
@@ -161,15 +181,15 @@ def _search(cell: pa.Table, k: int, dims: dict) -> pa.Table:
     model = cell.column("model")[0].as_py()
     dim = dims[model]
     items = cell.column("item").to_numpy(zero_copy_only=False).astype(str)
-    indexed = cell.column("indexed").to_numpy(zero_copy_only=False).astype(bool)
+    indexed, asks = (cell.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("indexed", "asks"))
     # Each item once, as an indexed row if it has one; in the order that ties follow.
     order = np.lexsort((~indexed, items))
     order = order[np.concatenate([[True], items[order][1:] != items[order][:-1]])] if len(order) else order
-    items, indexed = items[order], indexed[order]
+    items, indexed, asks = items[order], indexed[order], asks[order]
     x = _unit(_matrix(cell.column("vector").take(pa.array(order)).combine_chunks(), dim))
-    held = np.flatnonzero(indexed)
+    held, queries = np.flatnonzero(indexed), np.flatnonzero(asks)
     schema = pa.schema([("model", pa.string()), ("item", pa.string()), ("near", pa.list_(pa.struct([("far", pa.float64()), ("item", pa.string())])))])
-    if not len(held):
+    if not len(held) or not len(queries):
         return schema.empty_table()
     # Of equal vectors the first k + 1 are enough for any query.
     _, same = np.unique(x[held], axis=0, return_inverse=True)
@@ -181,9 +201,9 @@ def _search(cell: pa.Table, k: int, dims: dict) -> pa.Table:
     position[held] = np.arange(len(held))
     base, want = x[held], min(len(held), k + 8)
     ends, far, near = [0], [], []
-    for at in range(0, len(items), 1024):
-        s = x[at : at + 1024] @ base.T
-        own = position[at : at + 1024]
+    for at in range(0, len(queries), 1024):
+        s = x[queries[at : at + 1024]] @ base.T
+        own = position[queries[at : at + 1024]]
         s[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
         best = np.argpartition(-s, want - 1, axis=1)[:, :want]
         value = np.round(np.take_along_axis(s, best, axis=1), 12)
@@ -202,7 +222,7 @@ def _search(cell: pa.Table, k: int, dims: dict) -> pa.Table:
         near.append(held[best[:, :k][good]])
     found = pa.StructArray.from_arrays([pa.array(np.concatenate(far)), pa.array(items[np.concatenate(near)], pa.string())], names=["far", "item"])
     lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), found)
-    return pa.Table.from_arrays([pa.array([model] * len(items), pa.string()), pa.array(items, pa.string()), lists], schema=schema)
+    return pa.Table.from_arrays([pa.array([model] * len(queries), pa.string()), pa.array(items[queries], pa.string()), lists], schema=schema)
 
 
 def usable_vectors(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None) -> DataFrame:
@@ -283,12 +303,13 @@ def most_similar(df: DataFrame, item_col: str, model_col: str, vector_col: str,
         else:
             near = neighbour_graph(x)
             routers[model] = fit_router(x, balanced_parts(x, near, parts), near, parts)
-    homes = rows.mapInArrow(lambda b: _routed(b, routers, None), "model string, part int").groupBy("model", "part").agg(F.count("*").alias("n"))
-    blocks = {m: [1] * routers[m][0].shape[1] for m in routers}
-    for r in homes.collect():  # one row per part
-        blocks[r["model"]][r["part"]] = -(-r["n"] // BLOCK_ROWS)
-    visits = rows.mapInArrow(lambda b: _routed(b, routers, blocks), "model string, part int, block int, indexed boolean, item string, vector array<float>")
-    found = visits.groupBy("model", "part", "block").applyInArrow(lambda cell: _search(cell, k, dims), "model string, item string, near array<struct<far double, item string>>")
+    counted = rows.mapInArrow(lambda b: _counted(b, routers), "model string, part int, n long, visits long").groupBy("model", "part").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits"))
+    cells = {m: ([1] * routers[m][0].shape[1], [1] * routers[m][0].shape[1]) for m in routers}
+    for r in counted.collect():  # one row per part
+        for held, n in zip(cells[r["model"]], (r["n"], r["visits"])):
+            held[r["part"]] = max(1, -(-n // BLOCK_ROWS))
+    visits = rows.mapInArrow(lambda b: _routed(b, routers, cells), "model string, part int, block int, shard int, indexed boolean, asks boolean, item string, vector array<float>")
+    found = visits.groupBy("model", "part", "block", "shard").applyInArrow(lambda cell: _search(cell, k, dims), "model string, item string, near array<struct<far double, item string>>")
     merged = found.groupBy("model", "item").agg(F.flatten(F.collect_list("near")).alias("near"))
     near = merged.select("model", "item", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
     return near if members.isEmpty() else _with_copies(near, members, k)

@@ -59,6 +59,21 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert pairs(spark, rows) == brute(rows)
 
 
+def test_cells_are_bounded_on_both_sides(spark, monkeypatch):
+    search = V._search
+
+    def bounded(cell, k, dims):
+        assert cell.num_rows <= 200, cell.num_rows
+        return search(cell, k, dims)
+
+    rows = made(400, 2)
+    rows += [(f"l{i:03}", "m-8", (np.float32(1 + i) * np.array(rows[0][2], np.float32)).tolist()) for i in range(150)]  # one direction, many lengths
+    monkeypatch.setattr(V, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(V, "BATCH_ROWS", 50)
+    monkeypatch.setattr(V, "_search", bounded)
+    assert pairs(spark, rows) == brute(rows)
+
+
 def test_many_equal_vectors(spark):
     rows = [(f"e{i:03}", "m-2", [1.0, 1.0]) for i in range(200)] + [("z", "m-2", [1.0, 0.9])]
     assert pairs(spark, rows) == brute(rows)
