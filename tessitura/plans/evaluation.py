@@ -263,6 +263,49 @@ def ground_truth_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+ANSWER_LEAST, EXCERPT_LEAST = 0.55, 0.70
+
+
+def _sequence_errors(q: DataFrame) -> DataFrame:
+    """Ids must be gt-0001 to the number of rows: those of another form, repeats and gaps."""
+    number = F.regexp_extract("question_id", r"^gt-(\d{4,})$", 1).try_cast("long")
+    number = F.when((number > 0) & (F.concat(F.lit("gt-"), F.lpad(number.cast("string"), F.greatest(F.lit(4), F.length(number.cast("string"))), F.lit("0"))) == F.col("question_id")), number)
+    each = q.groupBy(number.alias("i")).agg(F.count("*").alias("n"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("i").isNotNull(), c)), F.lit(0))
+    sums = each.agg(
+        F.coalesce(F.sum(F.when(F.col("i").isNull(), F.col("n"))), F.lit(0)).alias("id_form"), of(F.col("n") - 1).alias("id_repeated"),
+        (F.coalesce(F.max("i"), F.lit(0)) - F.count("i")).alias("id_gap"))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in sums.columns))).alias("x")).select("x.*").where("n > 0")
+
+
+def ground_truth_errors(q: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``rule, n``: the sequence of ids, answers that their source's excerpt
+    doesn't support, and, of questions the corpus supports, sources it doesn't
+    have and excerpts that its texts of the document don't cover."""
+    kind = F.coalesce(T.or_null(F.col("answerability")), F.lit("corpus_supported"))
+    s = q.select("expected_answer", kind.alias("kind"), F.explode("relevant_sources").alias("s"))
+    s = s.select("expected_answer", "kind", F.col("s.document_id").alias("id"), F.coalesce("s.support_excerpt", F.lit("")).alias("excerpt"))
+    answer = T.coverage(T.informative(F.coalesce("expected_answer", F.lit(""))), T.informative(F.col("excerpt")), 1.0)
+    errors = s.where(answer < ANSWER_LEAST).agg(F.count("*").alias("n")).select(F.lit("answer_coverage").alias("rule"), "n")
+    s = s.where("kind = 'corpus_supported' and id is not null").groupBy("id", "excerpt").agg(F.count("*").alias("sources"))
+    known = corpus.select("id").distinct().join(s.select("id").distinct(), "id", "left_semi")
+    unknown = s.join(known, "id", "left_anti").agg(F.coalesce(F.sum("sources"), F.lit(0)).alias("n"))
+    errors = errors.unionByName(unknown.select(F.lit("source_not_in_corpus").alias("rule"), "n"))
+    # Word by word, so that no document's texts are gathered.
+    texts = corpus.join(known, "id", "left_semi").select("id", F.explode(F.array_distinct(T.informative(F.coalesce("texto", F.lit(""))))).alias("word")).distinct()
+    needles = s.join(known, "id", "left_semi").select("id", "excerpt", "sources", F.explode(T.informative(F.col("excerpt"))).alias("word"))
+    held = needles.join(texts.withColumn("held", F.lit(1)), ["id", "word"], "left")
+    share = held.groupBy("id", "excerpt").agg(F.first("sources").alias("sources"), (F.count("held") / F.count("*")).alias("share"))
+    low = share.where(F.col("share") < EXCERPT_LEAST).agg(F.coalesce(F.sum("sources"), F.lit(0)).alias("n"))
+    errors = errors.unionByName(low.select(F.lit("excerpt_coverage").alias("rule"), "n")).where("n > 0")
+    return _sequence_errors(q).unionByName(errors)
+
+
+@register()
+def ground_truth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth_errors(table(spark, sf_dir, "gt_questions"), table(spark, sf_dir, "corpus"))
+
+
 @register("""SELECT query_type, coalesce(difficulty, 'none') AS difficulty, count(*) AS questions, count(*) FILTER (WHERE coalesce(nullif(answerability, ''), 'corpus_supported') = 'corpus_supported') AS evaluable,
   count(DISTINCT expected_answer) AS answers FROM gt_questions GROUP BY ALL""")
 def question_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessitura.functions.text import words
+from tessitura.operators.ordered import ordered_digest
 from tessitura.schemas import STORE_KEYS
 
 SOURCE = "struct<document_id:string,titulo:string,citation_label:string,section_label:string,url:string,support_excerpt:string,relevance:int,grupo:string,tipo:string,subtipo:string>"
@@ -64,20 +66,63 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def write_store(chunks: DataFrame, root: str) -> None:
-    """Chunks with vectors, partitioned by the store's keys; other stores stay."""
-    orphans = chunks.where("chunk_strategy = 'hierarchical-child' and parent_chunk_id is null")
-    if not orphans.isEmpty():
-        raise ValueError("children without parent id in a hierarchical-child store")
+def store_violations(chunks: DataFrame, parents: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """``*STORE_KEYS, rule, n``: what makes stores unfit to be published.
+
+    ``parents`` (``chunk_id, texto``) are the chunks of the ``hierarchical``
+    stores among ``chunks`` if not given; rules on given parents have no store.
+    A ``manifest`` is compared with the chunks.
+    """
+    blank = lambda c: F.size(words(F.coalesce(F.col(c), F.lit("")))) == 0
+    expected, size = F.regexp_extract("model", r"(\d+)$", 1).try_cast("int"), F.array_size("embedding")
+    child = F.col("chunk_strategy") == "hierarchical-child"
+    rules = {
+        "null_id": F.col("chunk_id").isNull(), "blank_text": blank("texto"), "no_vector": F.col("embedding").isNull(),
+        "dimension": size != expected, "child_without_parent": child & blank("parent_chunk_id"),
+    }
+    counted = lambda df, **of: df.select(*STORE_KEYS, F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), c.cast("long").alias("n")) for r, c in of.items()))).alias("x")).select(*STORE_KEYS, "x.*").where("n > 0")
+    one = chunks.groupBy(*STORE_KEYS).agg(*(F.count_if(c).alias(r) for r, c in rules.items()), (F.countDistinct(size) - 1).alias("mixed_dimension"))
+    found = counted(one, **{r: F.col(r) for r in (*rules, "mixed_dimension")})
+    ids = chunks.where("chunk_id is not null").groupBy(*STORE_KEYS, "chunk_id").count().groupBy(*STORE_KEYS).agg(F.sum(F.col("count") - 1).alias("n"))
+    found = found.unionByName(counted(ids, repeated_id=F.col("n")))
+    held = (chunks.where("chunk_strategy = 'hierarchical'") if parents is None else parents).select(F.col("chunk_id").alias("parent"))
+    named = chunks.where(child & ~blank("parent_chunk_id")).withColumn("parent", F.trim("parent_chunk_id"))
+    unknown = named.join(held.distinct(), "parent", "left_anti").groupBy(*STORE_KEYS).agg(F.count("*").alias("n"))
+    found = found.unionByName(counted(unknown, unknown_parent=F.col("n")))
+    if parents is not None:
+        none = [F.lit(None).cast("string").alias(k) for k in STORE_KEYS]
+        sums = parents.agg(F.count_if(blank("texto")).alias("blank"), F.count_if(F.col("chunk_id").isNull()).alias("null")).select(*none, "blank", "null")
+        again = parents.where("chunk_id is not null").groupBy("chunk_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")).select(*none, "n")
+        found = found.unionByName(counted(sums, blank_parent=F.col("blank"), null_parent_id=F.col("null"))).unionByName(counted(again, repeated_parent=F.col("n")))
+    if manifest is not None:
+        own = store_manifest(chunks).select(*(F.col(k).alias(f"_{k}") for k in STORE_KEYS), *(F.col(c).alias(f"_{c}") for c in ("chunks", "dimension", "ids_hash")))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STORE_KEYS]
+        both = manifest.withColumn("_m", F.lit(True)).join(own.withColumn("_c", F.lit(True)), same, "full_outer")
+        both = both.withColumns({k: F.when(F.col("_m"), F.col(k)).otherwise(F.col(f"_{k}")) for k in STORE_KEYS})
+        alone = F.col("_m").isNull() | F.col("_c").isNull()
+        differs = lambda c: (~alone & ~F.col(c).eqNullSafe(F.col(f"_{c}"))).cast("int")
+        found = found.unionByName(counted(both, manifest_store=alone.cast("int"), manifest_count=differs("chunks"), manifest_dimension=differs("dimension"), manifest_hash=differs("ids_hash")))
+    return found
+
+
+def write_store(chunks: DataFrame, root: str, parents: DataFrame | None = None, manifest: DataFrame | None = None, allowed: tuple[str, ...] = ("repeated_id",)) -> None:
+    """Chunks with vectors, partitioned by the store's keys; other stores stay.
+    An error if any rule of ``store_violations`` that isn't ``allowed`` is broken."""
+    broken = store_violations(chunks, parents, manifest).where(~F.col("rule").isin(*allowed)) if allowed else store_violations(chunks, parents, manifest)
+    if sums := broken.groupBy("rule").agg(F.sum("n").alias("n")).orderBy("rule").collect():  # one row per rule
+        raise ValueError("stores not published: " + ", ".join(f"{r['rule']} {r['n']}" for r in sums))
     write_partitioned(chunks, f"{root}/chunks", STORE_KEYS)
     write_partitioned(store_manifest(chunks), f"{root}/manifest", STORE_KEYS)
 
 
 def store_manifest(chunks: DataFrame) -> DataFrame:
-    """Per store its counts, vector length and documents."""
-    return chunks.groupBy(*STORE_KEYS).agg(
-        F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"), F.max(F.size("embedding")).alias("dimension"), F.sort_array(F.collect_set("tipo")).alias("tipos")
+    """Per store its counts, vector length, documents and the digest of its sorted distinct ids."""
+    sums = chunks.groupBy(*STORE_KEYS).agg(
+        F.count("*").alias("chunks"), F.countDistinct("document_id").alias("documents"), F.max(F.array_size("embedding")).alias("dimension"), F.sort_array(F.collect_set("tipo")).alias("tipos")
     )
+    digests = ordered_digest(chunks, STORE_KEYS, "chunk_id").select(*(F.col(k).alias(f"_{k}") for k in STORE_KEYS), F.col("digest").alias("ids_hash"))
+    joined = sums.join(digests, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in STORE_KEYS], "left")
+    return joined.select(*sums.columns, "ids_hash")
 
 
 def read_store(spark: SparkSession, root: str, with_vectors: bool = True, **keys: str) -> DataFrame:

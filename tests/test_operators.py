@@ -101,3 +101,22 @@ def test_small_scores(spark):
     assert both.select(E.fingerprint("a", "b")).first()[0] == both.select(E.fingerprint("b", "a")).first()[0]
     m = E.run_manifest("r1", spark.createDataFrame([("c", 0.5)], "config string, recall double"), spark.createDataFrame([("c", True)], "label string, rerank boolean"))
     assert m.first().manifest == '{"config":"c","recall":0.5,"rerank":true}'
+
+
+def test_ground_truth_gate(spark):
+    from tessitura.plans.evaluation import ground_truth_errors
+
+    def errors(ids, answer="prazo contratual energia tarifa", excerpt="prazo contratual energia tarifa", kind="corpus_supported", doc="d1"):
+        rows = [(i, answer, kind, [(doc, excerpt)]) for i in ids]
+        q = spark.createDataFrame(rows, "question_id string, expected_answer string, answerability string, relevant_sources array<struct<document_id:string,support_excerpt:string>>")
+        return {r.rule: r.n for r in ground_truth_errors(q, corpus).collect()}
+
+    corpus = spark.createDataFrame([("d1", "O prazo contratual"), ("d1", "energia e tarifa"), ("d2", None)], "id string, texto string")
+    good = [f"gt-{i:04}" for i in range(1, 5)]
+    assert errors(good) == {}
+    assert errors([good[0], good[3], good[3], "gt-0000", "gt-00002", None]) == {"id_form": 3, "id_repeated": 1, "id_gap": 2}
+    assert errors(good[:2], excerpt="prazo contratual") == {"answer_coverage": 2}  # 0.5
+    assert errors(good[:1], excerpt="prazo contratual energia sistema") == {}  # 0.75 both ways
+    assert errors(good[:1], excerpt="prazo contratual energia distante montante") == {"excerpt_coverage": 1}  # 0.6
+    assert errors(good[:1], excerpt="prazo contratual energia distante montante", kind="source_only") == {}
+    assert errors(good[:2], doc="d2") == {"excerpt_coverage": 2} and errors(good[:2], doc="none") == {"source_not_in_corpus": 2}

@@ -62,6 +62,25 @@ def test_store_and_checkpoint(spark, data, tmp_path):
     assert wide.columns == ["x", "id"] and wide.first().x is None
 
 
+def test_store_gate(spark, tmp_path):
+    kinds = "provider string, model string, chunk_strategy string, metodo_extracao string, chunk_id string, document_id string, parent_chunk_id string, texto string, embedding array<float>, tipo string"
+    row = lambda i, parent=None, text="texto", vector=(1.0, 2.0), kind="hierarchical": ("p", "m-2", kind, "texto", i, "d", parent, text, vector and list(vector), "t")
+    frame = lambda *rows: spark.createDataFrame(rows, kinds)
+    rules = lambda *a: {r.rule: r.n for r in S.store_violations(*a).groupBy("rule").agg(F.sum("n").alias("n")).collect()}
+    good = frame(row("a"), row("b"), row("c", "a", kind="hierarchical-child"))
+    assert rules(good, None, S.store_manifest(good)) == {}
+    bad = frame(row("a"), row("a"), row(None), row("e", text=" "), row("f", vector=None), row("g", vector=(1.0,)), row("c", "x", kind="hierarchical-child"), row("d", " ", kind="hierarchical-child"))
+    assert rules(bad) == {"repeated_id": 1, "null_id": 1, "blank_text": 1, "no_vector": 1, "dimension": 1, "mixed_dimension": 1, "unknown_parent": 1, "child_without_parent": 1}
+    parents = spark.createDataFrame([("a", "x"), ("a", ""), (None, "x")], "chunk_id string, texto string")
+    assert rules(good, parents) == {"blank_parent": 1, "null_parent_id": 1, "repeated_parent": 1}
+    other = frame(row("a"), row("z"), row("y", kind="fixed-size"), row("c", "a", kind="hierarchical-child"), row("d", "a", kind="hierarchical-child"))
+    assert rules(good, None, S.store_manifest(other)) == {"manifest_store": 1, "manifest_count": 1, "manifest_hash": 2}
+    with pytest.raises(ValueError, match="blank_text 1.*null_id 1"):
+        S.write_store(bad, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="repeated_id 1"):
+        S.write_store(frame(row("a"), row("a")), str(tmp_path / "s"), allowed=())
+
+
 def docx(*paragraphs):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in paragraphs)
