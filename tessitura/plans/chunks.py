@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessitura.functions import text as T
 from tessitura.functions.keys import loose_id
 from tessitura.operators import chunking
+from tessitura.operators.ordered import ordered_digest
 from tessitura.plans.registry import register
 from tessitura.schemas import CHUNK_REQUIRED, STRATEGIES
 from tessitura.session import table
@@ -176,9 +177,8 @@ def store_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT DISTINCT document_id, metodo_extracao, chunk_strategy, chunk_id FROM metadata) GROUP BY ALL""")
 def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("document_id", "metodo_extracao", "chunk_strategy")
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("chunk_id")), lambda x: F.concat(x, F.lit("\n"))), "")
-    rows = table(spark, sf_dir, "metadata").select(*keys, "chunk_id").distinct()
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.substring(F.sha2(ids, 256), 1, 16).alias("digest"))
+    made = ordered_digest(table(spark, sf_dir, "metadata"), keys, "chunk_id")
+    return made.select(*keys, "n", F.substring("digest", 1, 16).alias("digest"))
 
 
 @register("""SELECT chunk_id, CASE WHEN lead(chunk_index) OVER w = chunk_index + 1 THEN lead(chunk_id) OVER w END AS next_id,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
 from tessitura.operators import evaluation as E
+from tessitura.operators.ordered import nearest_rank
 from tessitura.plans.registry import register
 from tessitura.session import table
 
@@ -27,14 +28,16 @@ _RAW = "FROM per_question WHERE config IS NOT NULL AND question_id IS NOT NULL"
 def config_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "per_question").where("config is not null and question_id is not null")
     mean = lambda c: F.round(F.avg(c), 6)
-    return rows.groupBy("config").agg(
-        F.count("*").alias("n"), *(mean(m).alias(m) for m in _METRICS), mean("latency_ms").alias("latency_avg"), E.nearest_rank_p95(F.col("latency_ms")).alias("latency_p95"),
+    sums = rows.groupBy("config").agg(
+        F.count("*").alias("n"), *(mean(m).alias(m) for m in _METRICS), mean("latency_ms").alias("latency_avg"),
         mean(F.col("answer_usable").cast("int")).alias("usable_rate"), mean("faithfulness").alias("faithfulness"))
+    ranked = nearest_rank(rows, ("config",), "latency_ms").select("config", F.col("ranked").alias("latency_p95"))
+    return sums.join(ranked, "config", "left").select("config", "n", *_METRICS, "latency_avg", "latency_p95", "usable_rate", "faithfulness")
 
 
 @register("""SELECT event_type, count(*) AS n, list_sort(list(value))[CAST(round_even(0.95 * (count(value) - 1), 0) AS INT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY ALL""")
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(F.count("*").alias("n"), E.nearest_rank_p95(F.col("value")).alias("p95"))
+    return nearest_rank(table(spark, sf_dir, "events"), ("event_type",), "value").withColumnRenamed("ranked", "p95")
 
 
 @register("""SELECT config, coalesce(nullif(generator_status, ''), 'unknown') AS status, count(*) AS n FROM per_question GROUP BY ALL""")
