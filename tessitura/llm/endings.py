@@ -236,15 +236,17 @@ class EndModel:
         return np.log(share / (1 - share)) + np.log(length) - whole
 
 
-def _length_odds(counts: dict[int, int], share: float) -> dict[int, float]:
-    """Odds for a cut at lengths where many more distinct texts stop than nearby."""
-    out = {}
-    for length, n in counts.items():
-        near = sorted(counts.get(x, 0) for x in range(length - 20, length + 21) if x != length)
-        usual = sum(near[:-4]) / (len(near) - 4) + 0.5
-        if n > usual + 4 * np.sqrt(usual) + 4:
-            out[length] = min(_MOST_LENGTH_ODDS, (n - usual + share * usual) / (share * usual))
-    return out
+def _length_odds(counts: DataFrame, share: float) -> dict[int, float]:
+    """Odds for a cut at lengths where many more distinct texts stop than nearby;
+    ``counts`` has ``length, n``. Only such lengths are collected."""
+    # No other count passes the test below, however few texts there are nearby.
+    many = counts.where("n > 7").select("length", "n", F.explode(F.array(*(F.lit(d) for d in range(-20, 21) if d))).alias("d"))
+    beside = counts.select(F.col("length").alias("other"), F.col("n").alias("beside"))
+    near = many.withColumn("other", F.col("length") + F.col("d")).join(beside, "other", "left")
+    near = near.groupBy("length", "n").agg(F.sort_array(F.collect_list(F.coalesce("beside", F.lit(0)))).alias("near"))  # 40 counts
+    usual = F.aggregate(F.slice("near", 1, 36), F.lit(0).cast("bigint"), lambda x, y: x + y) / 36 + 0.5
+    found = near.select("length", "n", usual.alias("usual")).where(F.col("n") > F.col("usual") + 4 * F.sqrt("usual") + 4)
+    return {r["length"]: min(_MOST_LENGTH_ODDS, (r["n"] - r["usual"] + share * r["usual"]) / (share * r["usual"])) for r in found.collect()}
 
 
 def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str, topic_col: str | None = None) -> tuple[EndModel, DataFrame]:
@@ -288,9 +290,8 @@ def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str, topi
     scale = (total[1] + n) / max(1.0, total[0])
     lengths = []
     for column in ("chars", "bytes"):
-        # One row per length.
-        rows = distinct.where(F.col(column) < 1_000_000).groupBy(column).agg(F.count("*").alias("n")).collect()
-        lengths.append(_length_odds({r[column]: r["n"] for r in rows}, usual))
+        counts = distinct.groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n"))
+        lengths.append(_length_odds(materialize(counts, "lengths"), usual))
     model = EndModel(ends.astype(np.float32), places.astype(np.float32), scale, usual * n / (total[1] + n), share, usual, *lengths)
     return model, features
 

@@ -39,6 +39,27 @@ def test_held_out_accuracy(spark):
     assert len(found & cut) >= 0.95 * len(cut) and len(found - cut) <= 0.03 * len(cut)
 
 
+def test_lengths_have_no_bound(spark):
+    rng = random.Random(7)
+    limit = 1 << 20
+    rows = [(i, (f"Texto {i}. " + sentence(rng) + " " + "a" * limit)[:limit], "pt") for i in range(12)]
+    rows += [(100 + i, sentence(rng), "pt") for i in range(50)]
+    model, _ = E.fit_endings(frame(spark, rows), "doc_id", "texto", "lang")
+    assert list(model.chars) == [limit] and model.chars[limit] > 1
+
+
+def test_length_odds_look_at_neighbours(spark):
+    counts = {100: 40, 101: 3, 99: 2, 500: 7, 700: 9, **{x: 30 for x in range(900, 1000)}, 950: 80, 3: 8}
+    found = E._length_odds(spark.createDataFrame(list(counts.items()), "length long, n long"), 0.1)
+    want = {}
+    for length, n in counts.items():
+        near = sorted(counts.get(x, 0) for x in range(length - 20, length + 21) if x != length)
+        usual = sum(near[:-4]) / 36 + 0.5
+        if n > usual + 4 * usual**0.5 + 4:
+            want[length] = min(E._MOST_LENGTH_ODDS, (n - usual + 0.1 * usual) / (0.1 * usual))
+    assert found.keys() == want.keys() >= {100, 700, 950, 3} and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_edge_cases(spark):
     rows, _ = made(200)
     rows += [(900, None, "pt"), (901, "", "pt"), (902, " \n\t", None), (903, "…", "pt"), (904, "palavra " * 200_000, "pt"), (905, rows[0][1], "pt"), (905, rows[0][1], "pt")]
