@@ -60,6 +60,9 @@ OPEN_WORDS = frozenset(
     "o a os as ao aos à às do da dos das de em no na nos nas e ou que com por para pelo pela pelos pelas um uma se sem sob sobre entre conforme quando seu sua "
     "the of and or to in an by at for from with which whose el la los las del al y en un una con sin según le les la du des et ou dans par pour sur".split()
 )
+# Of short answers: numbers in words and what may stand before them, and what a letter names.
+NUMBER_WORDS, LIMITS = frozenset("um uma un".split()), frozenset("apenas só somente exatamente menos máximo mínimo".split())
+LABELLED = frozenset("letra alínea alinea opção opcao alternativa item grupo subgrupo classe anexo tipo nível categoria option letter group class".split())
 OPEN_SHORT = frozenset("art. arts. nº n.º inc. § p. ex. al.".split())
 # Words that several languages share decide nothing.
 _SHARED = frozenset("que no en la las un a à de se antes aviso sobre entre desde sin con para quien puede limitado me est".split())
@@ -157,14 +160,25 @@ def is_other_language(question: str | None, answer: str) -> bool:
     return bool(asked) and best != asked and score[best] >= 2 * score[asked] + LEAST_FOREIGN
 
 
+def is_label(words: list[str], whole: str) -> bool:
+    """Whether a short answer's last word, though in ``OPEN_WORDS``, is a value:
+    a letter alone, named or a capital among small ones, or a number in words."""
+    last, before = words[-1], words[-2].lower() if len(words) > 1 else ""
+    if last.lower() in NUMBER_WORDS:
+        return not before or before in LIMITS
+    return before in LABELLED or (last.isupper() and not whole.isupper()) or (not before and len(last) == 1)
+
+
 def is_left_open(answer: str) -> bool:
     """Ends with a word, sign or bracket that something was to follow."""
     text = answer.rstrip()
     words = text.split()
-    if len(words) < LEAST_WORDS:
+    if not words:
         return False
     last = words[-1].lower()
-    return last.lstrip("([“\"") in OPEN_WORDS or last in OPEN_SHORT or text[-1] in ",(" or text.rfind("(") > max(text.rfind(")"), len(text) - 40)
+    if last.lstrip("([“\"") in OPEN_WORDS and not (len(words) < LEAST_WORDS and is_label(words, text)):
+        return True
+    return last in OPEN_SHORT or text[-1] in ",(" or text.rfind("(") > max(text.rfind(")"), len(text) - 40)
 
 
 def defect(question: str | None, answer: str | None) -> str:

@@ -96,6 +96,16 @@ def test_defects(answer, label):
     assert A.defect(Q, answer) == label
 
 
+@pytest.mark.parametrize("answer", ["O prazo de", "Conforme a", "Nos termos do", "Conforme", "O prazo e", "Sim,", "O prazo (", "CONFORME A", "Nos termos do Art."])
+def test_short_cut_answers(answer):
+    assert A.defect(Q, answer) == "truncated"
+
+
+@pytest.mark.parametrize("answer", ["86 dias", "Sim", "Não.", "A", "e", "Letra A", "alínea e", "Opção o", "Grupo A", "Subgrupo AS", "Um", "Apenas uma", "Art. 21", "Sim (ver anexo)", "1.15", "R$ 5,00"])
+def test_short_sound_answers(answer):
+    assert A.defect(Q, answer) == ""
+
+
 def test_language_of_questions():
     spanish = "¿Cuándo se debe reemplazar la auditoría según la demanda?"
     assert A.main_language(spanish) == "es" and A.defect(spanish, "El operador deberá revisar la auditoría en un plazo de 9 días hábiles.") == ""
