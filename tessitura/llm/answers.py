@@ -235,7 +235,7 @@ def find_defects(df: DataFrame, item_col: str, question_col: str, answer_cols: d
     sound = labelled.where("defect = ''").select("item", "side", "question", "answer", "lang", key.alias("pair"))
     # Each pair is one text of the model, however many rows repeat it.
     pairs = sound.select("pair", "question", "answer", "lang").dropDuplicates(["pair"])
-    cut = cut_scores(pairs, "pair", "answer", "lang", "question").where(F.col("log_odds") > threshold).select(F.col("item").alias("pair"))
+    cut = cut_scores(pairs, "pair", "answer", "lang", None, "question").where(F.col("log_odds") > threshold).select(F.col("item").alias("pair"))
     # Answers of a few words are values or a yes or no: too short to be a part of one.
     long = sound.where(F.size(F.split(F.trim("answer"), r"\s+")) >= LEAST_WORDS)
     truncated = long.select("item", "side", "pair").join(cut, "pair", "left_semi").select("item", "side", F.lit("truncated").alias("defect"))

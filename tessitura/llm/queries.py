@@ -64,7 +64,7 @@ _TEXTS = ("doc_id", "text", "lang")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endings.find_cut_texts(table(spark, sf_dir, "documents"), *_TEXTS)
+    return endings.find_cut_texts(table(spark, sf_dir, "documents"), *_TEXTS, "source")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

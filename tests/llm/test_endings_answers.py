@@ -44,20 +44,38 @@ def test_lengths_have_no_bound(spark):
     limit = 1 << 20
     rows = [(i, (f"Texto {i}. " + sentence(rng) + " " + "a" * limit)[:limit], "pt") for i in range(12)]
     rows += [(100 + i, sentence(rng), "pt") for i in range(50)]
-    model, _ = E.fit_endings(frame(spark, rows), "doc_id", "texto", "lang")
-    assert list(model.chars) == [limit] and model.chars[limit] > 1
+    _, features = E.fit_endings(frame(spark, rows), "doc_id", "texto", "lang")
+    assert [r.chars for r in E._limits(features, "chars").collect()] == [limit]
 
 
-def test_length_odds_look_at_neighbours(spark):
+def test_limits_look_at_neighbours_of_their_group(spark):
     counts = {100: 40, 101: 3, 99: 2, 500: 7, 700: 9, **{x: 30 for x in range(900, 1000)}, 950: 80, 3: 8}
-    found = E._length_odds(spark.createDataFrame(list(counts.items()), "length long, n long"), 0.1)
-    want = {}
+    rows = [("a", x) for x, n in counts.items() for _ in range(n)] + [("b", 500)] * 20 + [(None, 1)]
+    found = {(r.grp, r.chars): r.chars_excess for r in E._limits(spark.createDataFrame(rows, "grp string, chars long"), "chars").collect()}
+    want = {("b", 500): (20 - 0.5) / 20}
     for length, n in counts.items():
         near = sorted(counts.get(x, 0) for x in range(length - 20, length + 21) if x != length)
         usual = sum(near[:-4]) / 36 + 0.5
-        if n > usual + 4 * usual**0.5 + 4:
-            want[length] = min(E._MOST_LENGTH_ODDS, (n - usual + 0.1 * usual) / (0.1 * usual))
-    assert found.keys() == want.keys() >= {100, 700, 950, 3} and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+        if n > max(7, usual + 4 * usual**0.5 + 4):
+            want["a", length] = (n - usual) / n
+    assert found.keys() == want.keys() >= {("a", 100), ("a", 700), ("a", 950), ("a", 3)} and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_source_with_a_field_limit(spark):
+    """Cuts after whole words are told by the limit of their source; other texts of that length are whole."""
+    rng, rows, cut = random.Random(3), [], set()
+    for i in range(1500):
+        text = " ".join(sentence(rng) for _ in range(rng.randint(2, 9)))
+        source = "cutting" if i % 3 == 0 else "whole"
+        if source == "cutting" and len(text) > 300 and text[299] != ".":
+            text = text[:300]
+            cut.add(i)
+        rows.append((i, text, "pt", source))
+    df = spark.createDataFrame(rows, "doc_id long, texto string, lang string, source string")
+    found = {r.doc_id for r in E.find_cut_texts(df, "doc_id", "texto", "lang", "source").collect()}
+    assert len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 0.03 * len(cut)
+    shares = {r.source: r.share for r in E.cut_shares(df, "doc_id", "texto", "lang", "source").collect()}
+    assert shares["whole"] < 0.02 < 0.5 * len(cut) / 500 < shares["cutting"]
 
 
 def test_edge_cases(spark):
