@@ -4,9 +4,10 @@ Items lie in shards of bounded size.  Within a shard only the multiset of
 lengths matters: each window starts with the longest length left, a bitset
 subset-sum over the remaining lengths finds the sum closest to the capacity,
 backtracking through the kept bitsets gives how many of each length it takes,
-and the pattern is repeated as often as the counts allow.  Containers that
-stay partly empty are opened again and their items packed with those of many
-other shards, until one shard is left.
+and the pattern is repeated as often as the counts allow.  Of its containers
+that stay partly empty a shard opens the emptiest again, up to an eighth of its
+items; those of ``FAN_IN`` shards are one shard of the next level.  So no shard
+of any level is larger than the first ones, however the lengths are mixed.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from tessitura.llm.encoding import TOKENIZER_DIR, count_tokens
 from tessitura.session import materialize
 
-#: Items that one shard holds on average, and shards that are repacked as one.
-SHARD_ITEMS = 8_192
-FAN_IN = 512
+#: Items that one shard holds on average, and shards whose open items make one of the next level.
+SHARD_ITEMS, FAN_IN = 8_192, 8
+#: Tasks of a level at most; beyond, a task packs several shards, one by one.
+MOST_TASKS = 20_000
 
 
 def best_window(room: int, lengths: list[int], counts: list[int]) -> list[tuple[int, int]]:
@@ -73,21 +75,31 @@ def patterns(histogram: dict[int, int], capacity: int) -> Iterator[tuple[list[tu
         yield list(used.items()), times
 
 
-def _pack_shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _pack_shard(rows: pd.DataFrame, capacity: int, reopened: int) -> pd.DataFrame:
+    """The rows with their container in the shard and whether it is opened
+    again: the emptiest that aren't full, as long as they hold ``reopened``
+    items together, but at least one."""
     rows = rows.sort_values(["n_tokens", "item", "piece"], kind="stable")
     sizes = rows["n_tokens"].to_numpy()
     lengths, starts, counts = np.unique(sizes, return_index=True, return_counts=True)
     at = dict(zip(lengths.tolist(), starts.tolist()))
-    bins, fill, n_bins = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int32), 0
+    bins, n_bins, fills, held = np.zeros(len(rows), np.int64), 0, [], []
     for used, times in patterns(dict(zip(lengths.tolist(), counts.tolist())), capacity):
-        total = sum(x * n for x, n in used)
         for x, n in used:
-            own = slice(at[x], at[x] + n * times)
-            bins[own] = n_bins + np.repeat(np.arange(times), n)
-            fill[own] = total
+            bins[at[x] : at[x] + n * times] = n_bins + np.repeat(np.arange(times), n)
             at[x] += n * times
+        fills.append(np.full(times, sum(x * n for x, n in used)))
+        held.append(np.full(times, sum(n for _, n in used)))
         n_bins += times
-    return rows.assign(bin=bins, fill=fill)
+    fill, items = np.concatenate(fills), np.concatenate(held)
+    order = np.argsort(fill, kind="stable")
+    again = np.zeros(n_bins, bool)
+    again[order] = (fill[order] < capacity) & ((np.cumsum(items[order]) <= reopened) | (np.arange(n_bins) == 0))
+    return rows.assign(bin=bins, again=again[bins] & (reopened > 0))
+
+
+def _packer(capacity: int, reopened: int):
+    return lambda rows: _pack_shard(rows, capacity, reopened)
 
 
 def fill_containers(sizes: DataFrame, id_col: str, capacity: int = 2048, shard_items: int = SHARD_ITEMS) -> DataFrame:
@@ -117,19 +129,20 @@ def fill_containers(sizes: DataFrame, id_col: str, capacity: int = 2048, shard_i
     open_ = open_.withColumn("shard", F.pmod(F.xxhash64("item", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     done, level = full, 0
     while True:
-        packed = open_.groupBy("shard").applyInPandas(
-            lambda rows: _pack_shard(rows, capacity), f"item {kind}, piece int, n_tokens int, shard int, bin bigint, fill int"
-        )
+        last = shards == 1
+        # Partitioned by shard with as many tasks: small shards aren't put into one.
+        placed = open_.repartition(min(shards, MOST_TASKS), "shard")
+        pack = _packer(capacity, 0 if last else max(1, shard_items // FAN_IN))
+        packed = placed.groupBy("shard").applyInPandas(pack, f"item {kind}, piece int, n_tokens int, shard int, bin bigint, again boolean")
         named = F.concat_ws("-", F.lit(level).cast("string"), "shard", "bin").alias("container_id")
-        if shards > 1:
-            packed = materialize(packed, "containers")
-            done = done.unionByName(packed.where(f"fill = {capacity}").select("item", "piece", "n_tokens", named))
-            shards = -(-shards // FAN_IN)
-            open_ = packed.where(f"fill < {capacity}").select("item", "piece", "n_tokens", (F.col("shard") % shards).alias("shard"))
-            level += 1
-            continue
-        done = done.unionByName(packed.select("item", "piece", "n_tokens", named))
-        break
+        if last:
+            done = done.unionByName(packed.select("item", "piece", "n_tokens", named))
+            break
+        packed = materialize(packed, "containers")
+        done = done.unionByName(packed.where("not again").select("item", "piece", "n_tokens", named))
+        shards = -(-shards // FAN_IN)
+        open_ = packed.where("again").select("item", "piece", "n_tokens", (F.col("shard") % shards).alias("shard"))
+        level += 1
     return done.select(
         F.col("item").alias(id_col), "piece", (F.col("piece") * capacity).alias("token_start"), F.col("n_tokens").cast("int"), "container_id"
     )

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -70,3 +71,18 @@ def test_containers(spark, shard_items):
         if n <= 100 and i != 7:
             assert len(pieces[i]) == 1
     assert packing.fill_containers(spark.createDataFrame([], "item long, n_tokens int"), "item", 100).count() == 0
+
+
+def test_no_level_gathers_what_cannot_be_filled(spark):
+    """Items over half the capacity never fill a container: still no shard grows, and the rest stays near the lower bound."""
+    rng = random.Random(9)
+    sizes = [(i, rng.choice([60, 61, 70, 85])) for i in range(4_000)] + [(10_000 + i, rng.randint(1, 14)) for i in range(2_000)]
+    df = spark.createDataFrame(sizes, "item long, n_tokens int")
+    rows = packing.fill_containers(df, "item", 100, 100).collect()
+    fill = {}
+    for r in rows:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert len(rows) == len(sizes) and max(fill.values()) <= 100
+    assert len(fill) <= 4_000 * 1.01  # each large item needs a container of its own
+    pack = packing._pack_shard(pd.DataFrame({"item": range(50), "piece": 0, "n_tokens": [60] * 50, "shard": 0}), 100, 12)
+    assert pack["again"].sum() == 12
