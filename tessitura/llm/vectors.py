@@ -5,8 +5,12 @@ and cut into balanced parts; a softmax classifier learns the part of a vector.
 It routes every vector of the collection to its most probable part, where it is
 indexed, and as a query to every part that is probable enough.  Within a part
 all queries meet all indexed vectors in one matrix product in double precision;
-the best of all parts are merged.  A part that is too large for one task is cut
-into blocks, and its queries, cut into shards, visit them all.
+the best of all parts are merged.  A part that holds far more vectors than it
+should, because the collection wants more parts than one router has, is divided
+again: tasks fit a router on a bounded sample of each such part, its vectors are
+routed on, and so forth until parts are small or don't divide.  A part that
+stays too large for one task is cut into blocks, and its queries, cut into
+shards, visit them all.
 """
 
 from __future__ import annotations
@@ -24,13 +28,16 @@ from tessitura.session import materialize
 
 #: Vectors a part holds on average, and at most in a block or a shard of queries.
 PART_ROWS, BLOCK_ROWS = 2_500, 8_192
-MAX_PARTS = 4_096
-#: Rows of a batch that goes to the cells.
-BATCH_ROWS = 16_384
-#: The sample, per part and at most per collection.
-SAMPLE_PER_PART, MAX_SAMPLE = 160, 40_960
-#: A query visits parts of at least this probability, ``LEAST_PROBES`` to ``MOST_PROBES`` of them.
+#: Parts of one router, and how many times ``part_rows`` a part must hold to be divided again.
+FAN_OUT, DIVIDED = 256, 4
+#: Rows of a batch that goes to the cells, and visits that one task routes on.
+BATCH_ROWS, ROUTED_ROWS = 16_384, 100_000
+#: Vectors per part in the sample a router is fitted on: ``FAN_OUT`` times as many at most.
+SAMPLE_PER_PART = 160
+#: A query visits parts of at least this probability, ``LEAST_PROBES`` to ``MOST_PROBES`` of each router.
 LEAST_PROBABILITY, LEAST_PROBES, MOST_PROBES = 0.004, 1, 8
+#: Buckets of the hash that draws samples.
+_BUCKETS = 1 << 40
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,48 +122,63 @@ def fit_router(x: np.ndarray, part: np.ndarray, near: np.ndarray, parts: int, ro
     return w.astype(np.float64), b.astype(np.float64)
 
 
-def route(x: np.ndarray, router: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Parts by falling probability (``MOST_PROBES`` at most) and which of them are visited."""
+def route(x: np.ndarray, router: tuple[np.ndarray, np.ndarray], least: np.ndarray | float = LEAST_PROBABILITY, most_probes: int = MOST_PROBES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parts by falling probability (``most_probes`` at most), which of them are visited, and their probabilities."""
     w, b = router
     logits = x @ w + b
     p = np.exp(logits - logits.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    top = np.argsort(-p, axis=1, kind="stable")[:, :MOST_PROBES]
-    visited = np.take_along_axis(p, top, axis=1) >= LEAST_PROBABILITY
+    top = np.argpartition(-p, most_probes - 1, axis=1)[:, :most_probes] if most_probes < p.shape[1] else np.tile(np.arange(p.shape[1]), (len(p), 1))
+    held = np.take_along_axis(p, top, axis=1)
+    order = np.lexsort((top, -held), axis=1)
+    top, held = np.take_along_axis(top, order, axis=1), np.take_along_axis(held, order, axis=1)
+    visited = held >= np.reshape(least, (-1, 1))
     visited[:, :LEAST_PROBES] = True
-    return top, visited
+    return top, visited, held
+
+
+def fit_parts(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Router of ``parts`` balanced parts for a sample of unit vectors; one part
+    if the sample has no more vectors than that."""
+    if parts < 2 or len(x) <= parts:
+        return np.zeros((x.shape[1], 1)), np.zeros(1)
+    near = neighbour_graph(x)
+    return fit_router(x, balanced_parts(x, near, parts), near, parts)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _counted(batches: Iterator[pa.RecordBatch], routers: dict) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], routers: dict, least: float, most_probes: int) -> Iterator[pa.RecordBatch]:
     """How many vectors of each batch are indexed in a part, and how many visit it."""
     for batch in batches:
         models = batch.column(0).to_pylist()
         for model in set(models):
             own = batch.filter(pa.array([m == model for m in models]))
-            top, visited = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model])
+            top, visited, _ = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model], least, most_probes)
             parts = routers[model][0].shape[1]
             n, visits = np.bincount(top[:, 0], minlength=parts), np.bincount(top[visited], minlength=parts)
             seen = np.flatnonzero(visits)
             yield pa.RecordBatch.from_arrays([pa.array([model] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen]), pa.array(visits[seen])], names=["model", "part", "n", "visits"])
 
 
-def _routed(batches: Iterator[pa.RecordBatch], routers: dict, cells: dict) -> Iterator[pa.RecordBatch]:
+def _routed(batches: Iterator[pa.RecordBatch], routers: dict, cells: dict, least: float, most_probes: int) -> Iterator[pa.RecordBatch]:
     """A row for each cell (part, block, shard) that a vector is in: as a query
     in its shard with all blocks of the parts it visits, indexed in its block
-    with all shards. ``cells`` holds the blocks and shards of each part."""
+    with all shards. ``cells`` holds the blocks and shards of each part; parts
+    without blocks are divided further and left out here."""
     for batch in batches:
         models = batch.column(0).to_pylist()
         for model in set(models):
             own = batch.filter(pa.array([m == model for m in models]))
-            top, visited = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model])
+            top, visited, _ = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model], least, most_probes)
             blocks, shards = (np.array(c) for c in cells[model])
             hashed = np.array([xxhash.xxh3_64_intdigest(c) for c in own.column(1).to_pylist()], np.uint64)
-            home = (hashed % blocks[top[:, 0]].astype(np.uint64)).astype(np.int64)
-            rows, probes = np.nonzero(visited)
+            home = (hashed % np.maximum(1, blocks[top[:, 0]]).astype(np.uint64)).astype(np.int64)
+            rows, probes = np.nonzero(visited & (blocks[top] > 0))
+            if not len(rows):
+                continue
             repeats = blocks[top[rows, probes]] + np.where(probes == 0, shards[top[rows, probes]] - 1, 0)
             pieces = np.flatnonzero(np.diff(np.cumsum(repeats) // BATCH_ROWS)) + 1
             for row, probe, repeat in zip(*(np.split(x, pieces) for x in (rows, probes, repeats))):
@@ -171,11 +193,106 @@ def _routed(batches: Iterator[pa.RecordBatch], routers: dict, cells: dict) -> It
                 indexed = (probe == 0) & (block == home[row])
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0).take(take), *(pa.array(x.astype(np.int32)) for x in (part, block, shard)), pa.array(indexed), pa.array(asks), own.column(1).take(take), own.column(2).take(take)],
+                    [own.column(0).take(take), pa.array(part.astype(np.int64) + 1), *(pa.array(x.astype(np.int32)) for x in (block, shard)), pa.array(indexed), pa.array(asks), own.column(1).take(take), own.column(2).take(take)],
                     names=["model", "part", "block", "shard", "indexed", "asks", "item", "vector"],
                 )
 
 
+def _visits(batches: Iterator[pa.RecordBatch], routers: dict, divided: dict, least: float, most_probes: int) -> Iterator[pa.RecordBatch]:
+    """The visits to parts that are divided further, with their probabilities; ``home`` is the part that indexes the vector."""
+    for batch in batches:
+        models = batch.column(0).to_pylist()
+        for model in set(models) & set(divided):
+            own = batch.filter(pa.array([m == model for m in models]))
+            top, visited, p = route(_unit(_matrix(own.column(2), len(routers[model][0]))), routers[model], least, most_probes)
+            rows, probes = np.nonzero(visited & np.isin(top, divided[model]))
+            for at in range(0, len(rows), BATCH_ROWS):
+                row, probe = rows[at : at + BATCH_ROWS], probes[at : at + BATCH_ROWS]
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(take), pa.array(top[row, probe].astype(np.int64) + 1), pa.array(p[row, probe]), pa.array(probe == 0), own.column(1).take(take), own.column(2).take(take)],
+                    names=["model", "part", "p", "home", "item", "vector"],
+                )
+
+
+_VISITS = "model string, part bigint, p double, home boolean, item string, vector array<float>"
+
+
+def _fit_part(sample: pa.Table, part_rows: int, fan_out: int) -> pa.Table:
+    """The router of one part, from its sample (``model, part, n, vector``)."""
+    first = sample.slice(0, 1)
+    dim = len(first.column("vector")[0])
+    x = _unit(_matrix(sample.column("vector").combine_chunks(), dim))
+    w, b = fit_parts(x, min(fan_out, -(-first.column("n")[0].as_py() // part_rows)))
+    return pa.table({"model": first.column("model"), "part": first.column("part"), "router": pa.array([np.vstack([w, b]).tobytes()], pa.binary()), "parts": pa.array([len(b)], pa.int32())})
+
+
+def _route_on(visits: pa.Table, routers: pa.Table, least: float, most_probes: int) -> pa.Table:
+    """Visits to a part as visits to the parts it is divided into."""
+    schema = pa.schema([("model", pa.string()), ("part", pa.int64()), ("p", pa.float64()), ("home", pa.bool_()), ("item", pa.string()), ("vector", pa.list_(pa.float32()))])
+    if not visits.num_rows or not routers.num_rows:
+        return schema.empty_table()
+    visits = visits.combine_chunks()
+    parts = routers.column("parts")[0].as_py()
+    held = np.frombuffer(routers.column("router")[0].as_buffer()).reshape(-1, parts)
+    before, home = visits.column("p").to_numpy(), visits.column("home").to_numpy(zero_copy_only=False)
+    vectors = visits.column("vector").combine_chunks()
+    # Of the whole way down the probability is the product.
+    top, visited, p = route(_unit(_matrix(vectors, len(held) - 1)), (held[:-1], held[-1]), least / np.maximum(before, 1e-300), most_probes)
+    row, probe = np.nonzero(visited)
+    part = visits.column("part")[0].as_py() * (FAN_OUT + 1) + top[row, probe] + 1
+    take = pa.array(row)
+    return pa.table(
+        [visits.column("model").take(take), pa.array(part.astype(np.int64)), pa.array(before[row] * p[row, probe]), pa.array(home[row] & (probe == 0)), visits.column("item").take(take), vectors.take(take)],
+        schema=schema,
+    )
+
+
+def _sizes(visits: DataFrame) -> DataFrame:
+    return visits.groupBy("model", "part").agg(F.count_if("home").alias("n"), F.count("*").alias("visits"))
+
+
+def _divide(visits: DataFrame, part_rows: int, fan_out: int, least: float, most_probes: int) -> DataFrame:
+    """Cells of the visits to parts that are too large, divided level by level.
+    The routers are fitted in tasks, one per part, and never collected."""
+    leaves, visits = [], materialize(visits, "visits")
+    sizes = materialize(_sizes(visits).withColumn("divide", F.lit(True)), "parts")
+    while True:
+        large = sizes.where("divide").select("model", "part", "n", "visits")
+        share = F.least(F.lit(1.0), F.lit(1.05 * SAMPLE_PER_PART * min(fan_out, FAN_OUT)) / F.col("n"))
+        drawn = visits.where("home").join(large, ["model", "part"]).where(F.pmod(F.xxhash64("part", "item"), F.lit(_BUCKETS)) < share * _BUCKETS)
+        fit = drawn.select("model", "part", "n", "vector").groupBy("model", "part").applyInArrow(lambda t: _fit_part(t, part_rows, fan_out), "model string, part bigint, router binary, parts int")
+        fit = materialize(fit.where("parts > 1"), "routers")
+        shards = F.ceil(F.col("visits") / ROUTED_ROWS).cast("int")
+        routers = large.join(fit, ["model", "part"]).select("model", "part", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), "router", "parts")
+        own = visits.join(large.join(fit.select("model", "part"), ["model", "part"]), ["model", "part"]).withColumn("shard", F.pmod(F.xxhash64("item"), shards).cast("int"))
+        keys = ("model", "part", "shard")
+        routed = own.groupBy(*keys).cogroup(routers.groupBy(*keys)).applyInArrow(lambda v, r: _route_on(v, r, least, most_probes), _VISITS)
+        on = materialize(routed, "visits")
+        # Parts that were small, or whose sample didn't divide, are done.
+        done = sizes.join(fit.select("model", "part", "parts"), ["model", "part"], "left_anti").select("model", "part", "n", "visits")
+        leaves.append(visits.join(done, ["model", "part"]))
+        # A part that took nearly all of its parent doesn't divide further; nor do parts too deep for their numbers.
+        parent = sizes.select("model", F.col("part").alias("parent"), F.col("n").alias("above"))
+        found = _sizes(on).withColumn("parent", F.expr(f"part div {FAN_OUT + 1}")).join(parent, ["model", "parent"])
+        divide = (F.col("n") >= DIVIDED * part_rows) & (F.col("n") < 0.9 * F.col("above")) & (F.col("part") < (1 << 62) // (FAN_OUT + 1))
+        visits, sizes = on, materialize(found.select("model", "part", "n", "visits", divide.alias("divide")), "parts")
+        if sizes.where("divide").isEmpty():
+            leaves.append(visits.join(sizes.select("model", "part", "n", "visits"), ["model", "part"]))
+            break
+    each = leaves[0]
+    for other in leaves[1:]:
+        each = each.unionByName(other)
+    blocks, queries = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK_ROWS)).cast("int") for c in ("n", "visits"))
+    placed = each.withColumn("blocks", blocks).withColumn("shards", queries)
+    placed = placed.withColumn("own_block", F.pmod(F.xxhash64("item"), "blocks").cast("int")).withColumn("own_shard", F.pmod(F.hash("item"), "shards"))
+    asking = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asking = asking.select("model", "part", "block", F.col("own_shard").alias("shard"), (F.col("home") & (F.col("block") == F.col("own_block"))).alias("indexed"), F.lit(True).alias("asks"), "item", "vector")
+    held = placed.where("home").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("shard <> own_shard")
+    held = held.select("model", "part", F.col("own_block").alias("block"), "shard", F.lit(True).alias("indexed"), F.lit(False).alias("asks"), "item", "vector")
+    return asking.unionByName(held)
+
+
 def _search(cell: pa.Table, k: int, dims: dict) -> pa.Table:
     cell = cell.combine_chunks()
     model = cell.column("model")[0].as_py()
@@ -276,46 +393,61 @@ def _with_copies(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return both.select("model", "item", F.slice(F.filter("near", lambda x: x["item"] != F.col("item")), 1, k).alias("near"))
 
 
-def most_similar(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5) -> DataFrame:
+def most_similar(
+    df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5, part_rows: int = PART_ROWS, fan_out: int = FAN_OUT,
+    least_probability: float = LEAST_PROBABILITY, most_probes: int = MOST_PROBES, exact: bool = False,
+) -> DataFrame:
     """``model, item, near``: for each item its ``k`` most similar others of
     the same model as ``array<struct<far double, item string>>``, nearest
     first; ``far`` is minus the cosine, rounded to 12 decimals; ties go to the
     smaller item.
 
+    A query visits the parts of at least ``least_probability``, ``most_probes``
+    of each router at most; more of them, or larger parts (``part_rows``), find
+    more.  ``exact`` has no parts: every block of queries meets every block of
+    vectors.
+
     Vectors that are null, of another length, zero or not finite take no part;
     repeated items count once; a model with one item gives it an empty list; an
     empty table gives no rows.
     """
+    if not 2 <= fan_out <= FAN_OUT:
+        raise ValueError(f"fan_out must be 2 to {FAN_OUT}, got {fan_out}")
     rows, members = _classes(usable_vectors(df, item_col, model_col, vector_col, time_col))
     counts = {r["model"]: r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}
     routers, dims = {}, {}
     for model, n in counts.items():
-        parts = min(MAX_PARTS, -(-n // PART_ROWS))
-        wanted = min(MAX_SAMPLE, max(2_048, SAMPLE_PER_PART * parts))
-        share = min(1.0, 1.05 * wanted / n)
+        parts = 1 if exact else min(fan_out, -(-n // part_rows))
         own = rows.where(F.col("model") == model)
-        drawn = own.where(F.pmod(F.xxhash64("item"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-        # A bounded sample: about ``wanted`` rows.
-        x = _unit(np.stack(drawn.select("vector").toPandas()["vector"].tolist())) if parts > 1 else None
         dims[model] = len(own.first()["vector"])
-        if x is None or len(x) <= parts:
-            routers[model] = (np.zeros((dims[model], 1)), np.zeros(1))
-        else:
-            near = neighbour_graph(x)
-            routers[model] = fit_router(x, balanced_parts(x, near, parts), near, parts)
-    counted = rows.mapInArrow(lambda b: _counted(b, routers), "model string, part int, n long, visits long").groupBy("model", "part").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits"))
+        routers[model] = (np.zeros((dims[model], 1)), np.zeros(1))
+        if parts > 1:
+            share = min(1.0, 1.05 * max(2_048, SAMPLE_PER_PART * parts) / n)
+            drawn = own.where(F.pmod(F.xxhash64("item"), F.lit(_BUCKETS)) < int(share * _BUCKETS))
+            # A bounded sample: SAMPLE_PER_PART x FAN_OUT rows, about.
+            x = drawn.select("vector").toPandas()["vector"]
+            routers[model] = fit_parts(_unit(np.stack(x.tolist())), parts) if len(x) else routers[model]
+    counted = rows.mapInArrow(lambda b: _counted(b, routers, least_probability, most_probes), "model string, part int, n long, visits long").groupBy("model", "part").agg(F.sum("n").alias("n"), F.sum("visits").alias("visits"))
     cells = {m: ([1] * routers[m][0].shape[1], [1] * routers[m][0].shape[1]) for m in routers}
+    divided: dict[str, list[int]] = {}
     for r in counted.collect():  # one row per part
         for held, n in zip(cells[r["model"]], (r["n"], r["visits"])):
             held[r["part"]] = max(1, -(-n // BLOCK_ROWS))
-    visits = rows.mapInArrow(lambda b: _routed(b, routers, cells), "model string, part int, block int, shard int, indexed boolean, asks boolean, item string, vector array<float>")
+        # Only a router that has all its parts can hold parts that want to be several.
+        if len(cells[r["model"]][0]) == fan_out and r["n"] >= DIVIDED * part_rows:
+            divided.setdefault(r["model"], []).append(r["part"])
+            cells[r["model"]][0][r["part"]] = 0
+    visits = rows.mapInArrow(lambda b: _routed(b, routers, cells, least_probability, most_probes), "model string, part bigint, block int, shard int, indexed boolean, asks boolean, item string, vector array<float>")
+    if divided:
+        large = rows.mapInArrow(lambda b: _visits(b, routers, divided, least_probability, most_probes), _VISITS)
+        visits = visits.unionByName(_divide(large, part_rows, fan_out, least_probability, most_probes))
     found = visits.groupBy("model", "part", "block", "shard").applyInArrow(lambda cell: _search(cell, k, dims), "model string, item string, near array<struct<far double, item string>>")
     merged = found.groupBy("model", "item").agg(F.flatten(F.collect_list("near")).alias("near"))
     near = merged.select("model", "item", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
     return near if members.isEmpty() else _with_copies(near, members, k)
 
 
-def similar_pairs(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5) -> DataFrame:
+def similar_pairs(df: DataFrame, item_col: str, model_col: str, vector_col: str, time_col: str | None = None, k: int = 5, **settings) -> DataFrame:
     """Distinct ``item_a < item_b`` of which one is among the other's ``k`` most similar."""
-    each = most_similar(df, item_col, model_col, vector_col, time_col, k).select("item", F.explode("near.item").alias("other"))
+    each = most_similar(df, item_col, model_col, vector_col, time_col, k, **settings).select("item", F.explode("near.item").alias("other"))
     return each.select(F.least("item", "other").alias("item_a"), F.greatest("item", "other").alias("item_b")).distinct()

@@ -37,8 +37,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, None, 1, "clash") for r in rows], SCHEMA)
 
 
-def pairs(spark, rows):
-    return {tuple(r) for r in V.similar_pairs(frame(spark, rows), "chunk_id", "model", "embedding", "indexed_at").collect()}
+def pairs(spark, rows, **settings):
+    return {tuple(r) for r in V.similar_pairs(frame(spark, rows), "chunk_id", "model", "embedding", "indexed_at", **settings).collect()}
 
 
 def test_one_part_is_exact(spark):
@@ -46,13 +46,31 @@ def test_one_part_is_exact(spark):
     assert pairs(spark, rows) == brute(rows)
 
 
-def test_parts_keep_recall(spark, monkeypatch):
-    monkeypatch.setattr(V, "PART_ROWS", 200)
+def test_parts_keep_recall(spark):
     rows = made(3000)
-    want, got = brute(rows), pairs(spark, rows)
+    want, got = brute(rows), pairs(spark, rows, part_rows=200)
     assert len(want & got) >= 0.97 * len(want)
 
 
+def test_divided_parts_keep_recall(spark, monkeypatch):
+    """A router of four parts only: larger parts are divided again, twice."""
+    monkeypatch.setattr(V, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(V, "ROUTED_ROWS", 400)
+    fitted = []
+    divide = V._divide
+    monkeypatch.setattr(V, "_divide", lambda *a: fitted.append(1) or divide(*a))
+    rows = made(4000, 4)
+    rows += [(f"h{i:03}", "m-8", (np.float32(1 + i) * np.array(rows[0][2], np.float32)).tolist()) for i in range(300)]  # can't be divided
+    want, got = brute(rows), pairs(spark, rows, part_rows=60, fan_out=4, most_probes=4)
+    assert fitted and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+
+
+def test_exact_has_no_parts(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 300)
+    rows = made(1500, 6)
+    assert pairs(spark, rows, part_rows=50, exact=True) == brute(rows)
+
+
 def test_blocks_change_nothing(spark, monkeypatch):
     rows = made(400, 2)
     monkeypatch.setattr(V, "BLOCK_ROWS", 60)
