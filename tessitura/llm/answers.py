@@ -2,8 +2,12 @@
 
 Copies are found by compressing the answer with its question as a zstandard
 dictionary: what the compressed answer still holds is what the question
-doesn't.  Refusals and languages come from dictionaries.  What is left is
-judged by the end-of-text model, trained on the answers themselves.
+doesn't.  The language dictionaries are learned from labelled texts: the words
+of each language, and which of them are its own.  The refusal dictionary holds
+what a first person says of its own inability, and what is said of an answer
+that can't be given; a clause of an answer must say it.  What is left is judged
+by the end-of-text model, trained on the answers themselves, with a share of
+cut answers for each number of words.
 """
 
 from __future__ import annotations
@@ -12,22 +16,29 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessitura.llm.endings import cut_scores
 from tessitura.session import materialize
 
 #: Bytes that a copy may add to its question, and the share of the question it must repeat.
-NEW_BYTES, REPEATED_SHARE = 10, 0.6
-
+NEW_BYTES, REPEATED_SHARE = 26, 0.6
+#: Languages that are learned, the most labelled ones, and words of each, the most frequent ones.
+LANGUAGES, WORDS = 40, 20_000
+#: A word is a language's own if that much of its use, in equally many words of each, is there.
+OWN_SHARE = 0.8
 #: Words of another language, beyond twice those of the question's, that make an answer foreign.
 LEAST_FOREIGN = 2
-#: Shorter answers aren't judged by their end.
-LEAST_WORDS = 4
+#: An answer is foreign, too, if it has so many plain words and the question's language knows a smaller share of them.
+LEAST_PLAIN, KNOWN_SHARE = 4, 0.3
+#: Numbers of words that are classes of their own in the end-of-text model.
+SHORT_CLASSES = 4
 
 # What stands for an answer without being one, letters and digits only.
 FILLERS = frozenset(
@@ -35,26 +46,22 @@ FILLERS = frozenset(
     "naodisponivel naoinformado indisponivel pendente adefinir aguardando respuesta sinrespuesta reponse sansreponse blank xxx".split()
 )
 
-# Expressions of refusal without accents, in lower case.
+# Expressions of refusal without accents, in lower case; by language, first of one's own inability, then of the answer's.
 REFUSALS = re.compile(
     r"\b(?:"
-    r"nao (?:posso|consigo|sei|devo|tenho (?:como|acesso|dados|informac|condic|elementos)|disponho|encontrei|localizei|fui capaz|sou capaz|estou (?:apto|autorizad|em condic)|me (?:foi|e) (?:possivel|permitido))"
-    r"|deixo de responder|impossibilitad[oa] de|faltam?-me|me faltam|abstenho|foge ao que me cabe|imprudente de minha parte|fora do meu alcance"
-    r"|nao permitem? (?:responder|dar|uma resposta)|nao ha (?:base|dados|elementos|informac\w*|contexto)(?: suficientes?)? para (?:responder|dar|uma)|nada nos (?:contextos|trechos|documentos)"
-    r"|so um especialista|prefiro nao|recuso-me|lamento|lamentavelmente|sinto muito|desculpe|infelizmente|como (?:sistema automatico|modelo de linguagem|assistente|uma? ia)"
-    r"|i(?: a|')m (?:sorry|unable|not able|afraid)|i (?:cannot|can't|can not|could not|couldn't|do not have|don't have|do not know|don't know|am not able|must decline|decline)|unable to (?:answer|provide|help|respond)|cannot (?:answer|help|assist)|unfortunately|as an? (?:ai|automat\w+|language model)|would rather not"
-    r"|lo siento|lamentablemente|no (?:puedo|dispongo|tengo (?:acceso|datos|informacion)|encontre|encuentro|me es posible|soy capaz)|me es imposible|me abstengo|prefiero no"
-    r"|je (?:ne peux|ne suis pas|regrette|suis desole|prefere ne)|desolee?|malheureusement"
+    r"nao (?:posso|consigo|sei|devo|vou|tenho (?:como|acesso|dados|informac|condic|elementos|base|meios)|disponho|encontrei|encontro|localizei|localizo|achei|(?:fui|sou) capaz|estou (?:apt|autorizad|em condic|habilitad)|me (?:foi|e|seria) (?:possivel|permitido|dado))"
+    r"|(?:deixo|abstenho-me|me abstenho|recuso-me|me recuso|declino|evito|prefiro nao|preferiria nao) |(?:fico|estou|sinto-me|vejo-me) (?:impossibilitad|impedid|incapa)|me faltam?\b|faltam?-me|foge (?:ao?|do) (?:que me|meu|minha)|fora d[oa] (?:meu|minha)\b|d[ae] minha (?:parte|competencia|alcada)"
+    r"|(?:resposta|pergunta|questao|consulta|solicitacao|pedido)\b[^.;!?]{0,60}\bnao (?:pode|podera|podem|sera|foi|pude|esta)\b[^.;!?]{0,20}(?:respond|forneci|dad[oa]|atendi|localiza|encontra|determina|dispon)"
+    r"|nao (?:e|foi|sera|seria|ha) (?:possivel|viavel|como|meio de) (?:responder|localizar a resposta|fornecer|dar|atender|ajudar|esclarecer|opinar)|nao permitem? (?:responder|dar|uma resposta|concluir)"
+    r"|nao ha (?:base|dados|elementos|informac\w*|contexto)(?: suficientes?)? para (?:responder|dar|uma|esclarecer)|nada n[oa]s? (?:contextos?|trechos?|documentos?|material|textos?)\b[^.;!?]{0,40}\b(?:trata|responde|menciona|permite|diz|consta)|so um especialista"
+    r"|i(?: am|'m) (?:unable|not able|not allowed|afraid i|sorry,? (?:but )?i)|i (?:cannot|can't|can not|could not|couldn't|do not have|don't have|do not know|don't know|must decline|decline|would rather not|prefer not)"
+    r"|(?:question|answer|request)\b[^.;!?]{0,40}\b(?:cannot|can't|could not) be (?:given|answered|provided|found|met)|unable to (?:answer|provide|help|respond)|cannot (?:answer|help|assist)|not enough (?:information|context|data) to (?:answer|respond)"
+    r"|no (?:puedo|dispongo|tengo (?:acceso|datos|informacion|elementos)|encontre|encuentro|me (?:es|fue) posible|soy capaz|estoy en condic)|me (?:es imposible|abstengo|niego)|prefiero no"
+    r"|(?:respuesta|pregunta|consulta|solicitud)\b[^.;!?]{0,40}\bno (?:puede|se puede|pudo)\b|no (?:es|fue) posible (?:responder|contestar|ayudar)"
+    r"|je (?:ne (?:peux|puis|sais|dispose|trouve|suis pas)|n'ai (?:pas|trouve)|prefere ne|refuse|regrette de ne)|il (?:m'est|est) impossible de (?:repondre|fournir)"
     r")"
 )
 
-# Frequent words of one language that are none in the others, with accents.
-LANGUAGE_WORDS = {
-    "pt": "o os ao aos à às do dos da das no na nos nas pelo pela pelos pelas um uma uns é são não com em que deverá poderá foram aquela aquele observado antes sem quando houver disposto limitado sobre após entende-se considera-se compete fica vedado cabe facultado valor prazo termos contar partir mediante inclusive salvo desde como quem qual quais explique relação entre estabelece permitido casos pode há sua seu até",
-    "es": "el los las del al un una y es son con en sin que según deberá podrá cuando resulte hay antes necesario luego aviso previo plazo hábiles muestran aunque también influye fue fijado ciento usuarios servicio artículo puede esta este pero qué cómo quién cuál cuándo debe debería puede pueden según para quien servicio",
-    "en": "the of and to is must be within days whenever shall each it was set at which covers this only from show how changed after unless has been paid may used any up percent section applies according by for in what who when does under an",
-    "fr": "le les la des du un une et est sont dans en pour que selon doit lorsque faut avant délai jours l'article montrent été par insuffisante insuffisant c'est régler notifier où sur avec qui ne pas prise compte",
-}
 # Words that an answer can't end with, and abbreviations that wait for a number.
 OPEN_WORDS = frozenset(
     "o a os as ao aos à às do da dos das de em no na nos nas e ou que com por para pelo pela pelos pelas um uma se sem sob sobre entre conforme quando seu sua "
@@ -64,15 +71,10 @@ OPEN_WORDS = frozenset(
 NUMBER_WORDS, LIMITS = frozenset("um uma un".split()), frozenset("apenas só somente exatamente menos máximo mínimo".split())
 LABELLED = frozenset("letra alínea alinea opção opcao alternativa item grupo subgrupo classe anexo tipo nível categoria option letter group class".split())
 OPEN_SHORT = frozenset("art. arts. nº n.º inc. § p. ex. al.".split())
-# Words that several languages share decide nothing.
-_SHARED = frozenset("que no en la las un a à de se antes aviso sobre entre desde sin con para quien puede limitado me est".split())
-_WORDS: dict[str, str] = {}
-for _lang, _list in LANGUAGE_WORDS.items():
-    for _word in set(_list.split()) - _SHARED:
-        _WORDS[_word] = "" if _word in _WORDS else _lang
 
 _TAG = re.compile(r"<[^<>]{0,200}>")
-_QUOTED = re.compile(r"[“\"«][^”\"»]{0,200}[”\"»]")
+_QUOTED = re.compile(r"[“\"«][^”\"»]{0,200}[”\"»]|(?<!\w)['‘][^'’]{0,200}['’](?!\w)")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
 def plain(text: str) -> str:
@@ -114,12 +116,17 @@ def is_empty(answer: str | None) -> bool:
     return not left or left in FILLERS
 
 
-def new_bytes(question: str, answer: str) -> int:
-    """Bytes of the compressed answer that the question, as its dictionary, doesn't save."""
+@lru_cache(maxsize=4096)
+def _packer(question: str) -> zstandard.ZstdCompressor:
     # Raw content dictionaries have eight bytes at least.
-    held = zstandard.ZstdCompressionDict(question.encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    pack = zstandard.ZstdCompressor(level=19, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(pack.compress(answer.encode())) - len(pack.compress(question.encode()))
+    held = zstandard.ZstdCompressionDict(question.encode("utf-8", "surrogatepass").ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=6, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
+def new_bytes(question: str, answer: str) -> int:
+    """Bytes of the answer, compressed with the question as its dictionary; 10
+    to 13 of them are the frame and a match."""
+    return len(_packer(question).compress(answer.encode("utf-8", "surrogatepass")))
 
 
 def _flat(text: str) -> str:
@@ -127,37 +134,75 @@ def _flat(text: str) -> str:
 
 
 def is_copy(question: str | None, answer: str) -> bool:
+    """Holds hardly anything that the question doesn't, and most words of the question."""
     q, a = _flat(question or ""), _flat(_TAG.sub("", answer))
-    asked, given = q.split(), set(a.split())
-    if len(q) < 8 or sum(w in given for w in asked) < REPEATED_SHARE * len(asked) or len(a) > 4 * len(q) + 40:
+    if len(q) < 8 or new_bytes(q, a) > NEW_BYTES:
         return False
-    return new_bytes(q, a) <= NEW_BYTES
+    asked, given = q.split(), set(a.split())
+    return sum(w in given for w in asked) >= REPEATED_SHARE * len(asked)
 
 
 def is_refusal(answer: str) -> bool:
-    return bool(REFUSALS.search(plain(answer).replace("’", "'")))
-
-
-def language(text: str) -> dict[str, int]:
-    """How many words of the text each language has for itself; quotations don't count."""
-    score = dict.fromkeys(LANGUAGE_WORDS, 0)
-    for word in re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", _QUOTED.sub(" ", text.lower())):
-        if lang := _WORDS.get(word, ""):
-            score[lang] += 1
+    """Quotations refuse nothing."""
+    return bool(REFUSALS.search(plain(_QUOTED.sub(" ", answer.replace("’", "'")))))
+
+
+#: Of each word the languages that have it, and the one whose own it is or ''.
+Words = dict[str, tuple[frozenset[str], str]]
+_NONE = (frozenset(), "")
+
+
+def learn_words(df: DataFrame, text_col: str, lang_col: str) -> Words:
+    """The words of the ``LANGUAGES`` most labelled languages, ``WORDS`` of each
+    at most, counted over all labelled texts. A label's first two letters say
+    the language; wrong labels do no harm while they are few."""
+    lang = F.lower(F.substring(F.trim(df[lang_col]), 1, 2))
+    texts = df.select(lang.alias("lang"), df[text_col].alias("text")).where("lang rlike '^[a-z]{2}$' and text is not null")
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:['’-]\p{L}+)*"), 0)).alias("word")
+    counts = texts.select("lang", words).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "words")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    rate = counts.join(totals, "lang").select("lang", "word", "n", (F.col("n") / F.col("total")).alias("rate"))
+    share = F.col("rate") / F.sum("rate").over(Window.partitionBy("word"))  # a word has LANGUAGES rows at most
+    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    kept = rate.withColumn("share", share).withColumn("r", F.row_number().over(top)).where(F.col("r") <= WORDS)
+    known: Words = {}
+    sets: dict[frozenset, frozenset] = {}
+    for lang, word, share in kept.select("lang", "word", "share").toPandas().itertuples(index=False):  # LANGUAGES x WORDS rows at most
+        held, own = known.get(word, _NONE)
+        held = held | {lang}
+        known[word] = (sets.setdefault(held, held), lang if share >= OWN_SHARE else own)
+    return known
+
+
+def language(text: str, words: Words) -> dict[str, int]:
+    """How many words of the text are each language's own; quotations don't count."""
+    score: dict[str, int] = {}
+    for word in _WORD.findall(_QUOTED.sub(" ", text.lower())):
+        if own := words.get(word, _NONE)[1]:
+            score[own] = score.get(own, 0) + 1
     return score
 
 
-def main_language(text: str) -> str:
+def main_language(text: str, words: Words) -> str:
     """The language with most words, or '' when none is ahead."""
-    first, second = sorted(language(text).items(), key=lambda x: -x[1])[:2]
-    return first[0] if first[1] > second[1] else ""
+    best = sorted(language(text, words).items(), key=lambda x: -x[1])[:2]
+    return best[0][0] if len(best) == 1 or len(best) == 2 and best[0][1] > best[1][1] else ""
 
 
-def is_other_language(question: str | None, answer: str) -> bool:
-    asked = main_language(question or "")
-    score = language(answer)
-    best = max(score, key=score.get)
-    return bool(asked) and best != asked and score[best] >= 2 * score[asked] + LEAST_FOREIGN
+def is_unknown(text: str, lang: str, words: Words) -> bool:
+    """Whether the language doesn't have the text's words; names, in capitals, and numbers don't count."""
+    small = [w for w in _WORD.findall(_QUOTED.sub(" ", text)) if w == w.lower() and len(w) > 1]
+    return len(small) >= LEAST_PLAIN and sum(lang in words.get(w, _NONE)[0] for w in small) < KNOWN_SHARE * len(small)
+
+
+def is_other_language(question: str | None, answer: str, words: Words) -> bool:
+    asked = main_language(question or "", words)
+    if not asked:
+        return False
+    score = language(answer, words)
+    best = max(score, key=score.get, default=asked)
+    return best != asked and score[best] >= 2 * score.get(asked, 0) + LEAST_FOREIGN or is_unknown(answer, asked, words)
 
 
 def is_label(words: list[str], whole: str) -> bool:
@@ -176,14 +221,15 @@ def is_left_open(answer: str) -> bool:
     if not words:
         return False
     last = words[-1].lower()
-    if last.lstrip("([“\"") in OPEN_WORDS and not (len(words) < LEAST_WORDS and is_label(words, text)):
+    if last.lstrip("([“\"") in OPEN_WORDS and not (len(words) < SHORT_CLASSES and is_label(words, text)):
         return True
     return last in OPEN_SHORT or text[-1] in ",(" or text.rfind("(") > max(text.rfind(")"), len(text) - 40)
 
 
-def defect(question: str | None, answer: str | None) -> str:
+def defect(question: str | None, answer: str | None, words: Words) -> str:
     """The defect that needs no end-of-text model, or '': of cut answers those
-    that an open word or bracket gives away."""
+    that an unclosed object, an open word or bracket gives away, which many of
+    them share so that the model takes them for ends."""
     broken = is_broken_object(answer)
     answer = unwrapped(answer) if answer else answer
     if is_empty(answer):
@@ -192,14 +238,12 @@ def defect(question: str | None, answer: str | None) -> str:
         return "copy"
     if is_refusal(answer):
         return "refusal"
-    if is_other_language(question, answer):
+    if is_other_language(question, answer, words):
         return "other_language"
-    if broken or is_left_open(answer):
-        return "truncated"
-    return ""
+    return "truncated" if broken or is_left_open(answer) else ""
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
     known: dict[tuple, tuple] = {}
     for batch in batches:
         rows = []
@@ -207,8 +251,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if pair not in known:
                 if len(known) > 50_000:
                     known.clear()
-                label = defect(*pair)
-                known[pair] = (label, None, None) if label else ("", unwrapped(pair[1]), main_language(pair[1]))
+                label = defect(*pair, words)
+                known[pair] = (label, None, None) if label else ("", unwrapped(pair[1]), main_language(pair[1], words))
             rows.append(known[pair])
         labels, texts, langs = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
@@ -217,27 +261,28 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def find_defects(df: DataFrame, item_col: str, question_col: str, answer_cols: dict[str, str], threshold: float = 0.0) -> DataFrame:
+def find_defects(df: DataFrame, item_col: str, question_col: str, answer_cols: dict[str, str], words: Words) -> DataFrame:
     """``item_col, side, defect`` of each defective pair, at most one per pair.
 
-    ``answer_cols`` names the answer's column (or struct field) by side.
-    Defects in the order they are looked for: ``empty`` (null, blank, filler,
-    placeholder or bare markup), ``copy``, ``refusal``, ``other_language``,
-    ``truncated``.  With a null or blank question an answer can't be a copy nor
-    in another language; repeated rows are rows of their own; an empty table
-    gives no rows.
+    ``answer_cols`` names the answer's column (or struct field) by side,
+    ``words`` are the languages (``learn_words``).  Defects in the order they
+    are looked for: ``empty`` (null, blank, filler, placeholder or bare
+    markup), ``copy``, ``refusal``, ``other_language``, ``truncated``.  With a
+    null or blank question an answer can't be a copy nor in another language;
+    repeated rows are rows of their own; an empty table gives no rows.
     """
     kind = df.schema[item_col].dataType.simpleString()
+    held = df.sparkSession.sparkContext.broadcast(words)
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(c).alias("answer")) for s, c in answer_cols.items()))
     pairs = df.select(F.col(item_col).alias("item"), F.col(question_col).alias("question"), F.explode(sides).alias("p")).select("item", "p.side", "question", "p.answer")
-    labelled = materialize(pairs.mapInArrow(_labelled, f"item {kind}, side string, question string, defect string, answer string, lang string"), "answers")
+    run = lambda batches: _labelled(batches, held.value)
+    labelled = materialize(pairs.mapInArrow(run, f"item {kind}, side string, question string, defect string, answer string, lang string"), "answers")
     key = F.xxhash64("question", "answer")
     sound = labelled.where("defect = ''").select("item", "side", "question", "answer", "lang", key.alias("pair"))
-    # Each pair is one text of the model, however many rows repeat it.
-    pairs = sound.select("pair", "question", "answer", "lang").dropDuplicates(["pair"])
-    cut = cut_scores(pairs, "pair", "answer", "lang", None, "question").where(F.col("log_odds") > threshold).select(F.col("item").alias("pair"))
-    # Answers of a few words are values or a yes or no: too short to be a part of one.
-    long = sound.where(F.size(F.split(F.trim("answer"), r"\s+")) >= LEAST_WORDS)
-    truncated = long.select("item", "side", "pair").join(cut, "pair", "left_semi").select("item", "side", F.lit("truncated").alias("defect"))
+    # Each pair is one text of the model, however many rows repeat it; short answers have a share of cuts by their number of words.
+    size = F.least(F.size(F.split(F.trim("answer"), r"\s+")), F.lit(SHORT_CLASSES)).alias("size")
+    pairs = sound.select("pair", "question", "answer", "lang", size).dropDuplicates(["pair"])
+    cut = cut_scores(pairs, "pair", "answer", "lang", "size", "question").where(F.col("log_odds") > 0).select(F.col("item").alias("pair"))
+    truncated = sound.select("item", "side", "pair").join(cut, "pair", "left_semi").select("item", "side", F.lit("truncated").alias("defect"))
     found = labelled.where("defect <> ''").select("item", "side", "defect").unionByName(truncated)
     return found.withColumnRenamed("item", item_col)

@@ -13,7 +13,8 @@ _SIDES = {"generated": "system_output.generated_answer", "expected": "ground_tru
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.find_defects(table(spark, sf_dir, "gt_audit_passing_sample"), "sample_id", "question", _SIDES)
+    words = answers.learn_words(table(spark, sf_dir, "documents"), "text", "lang")
+    return answers.find_defects(table(spark, sf_dir, "gt_audit_passing_sample"), "sample_id", "question", _SIDES, words)
 
 
 _CORPUS = ("registro", "id", "fonte", "texto")

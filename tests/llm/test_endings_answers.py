@@ -96,6 +96,12 @@ def test_peel():
 Q = "Qual é o prazo para revisar o contrato anual do operador?"
 
 
+@pytest.fixture(scope="module")
+def words(spark, data):
+    """Dictionaries from the next larger tables: real labels, some of them wrong."""
+    return A.learn_words(spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet"), "text", "lang")
+
+
 @pytest.mark.parametrize(
     ("answer", "label"),
     [
@@ -107,30 +113,40 @@ Q = "Qual é o prazo para revisar o contrato anual do operador?"
         ('{"answer": "O operador deverá revisar o contra', "truncated"), ('{"answer": "O prazo é de 30 dias."}', ""), ("Hay que revisar el contrato antes de que la red entre en servicio.", "other_language"),
         ("86 dias", ""), ("Não", ""), ("Art. 21, § 8º", ""), ("Não é possível revisar o contrato sem o gerador, pois o art. 5 veda o desconto.", ""),
         ("O termo em inglês “annual dispatch” designa o período anual do contrato.", ""), ("A norma não informa o prazo, mas determina que o operador deve revisar o contrato.", ""),
+        ("A resposta não pode ser fornecida com o material apresentado.", "refusal"), ("The question cannot be answered from these documents.", "refusal"),
+        ("Infelizmente o prazo já terminou; o operador deve revisar o contrato em 30 dias.", ""), ("Desculpe a demora: o prazo é de 30 dias.", ""), ("A norma diz: 'não posso' é resposta vedada ao atendente.", ""),
+        ("Die Frist beträgt dreißig Tage ab der Mitteilung.", "other_language"), ("Contract review takes thirty days.", "other_language"), ((Q + " ") * 6, "copy"),
         ("Quanto a o prazo para revisar o contrato anual do operador: O prazo é de 30 dias, observado o art. 9.", ""),
     ],
 )
-def test_defects(answer, label):
-    assert A.defect(Q, answer) == label
+def test_defects(answer, label, words):
+    assert A.defect(Q, answer, words) == label
 
 
 @pytest.mark.parametrize("answer", ["O prazo de", "Conforme a", "Nos termos do", "Conforme", "O prazo e", "Sim,", "O prazo (", "CONFORME A", "Nos termos do Art."])
-def test_short_cut_answers(answer):
-    assert A.defect(Q, answer) == "truncated"
+def test_short_cut_answers(answer, words):
+    assert A.defect(Q, answer, words) == "truncated"
 
 
 @pytest.mark.parametrize("answer", ["86 dias", "Sim", "Não.", "A", "e", "Letra A", "alínea e", "Opção o", "Grupo A", "Subgrupo AS", "Um", "Apenas uma", "Art. 21", "Sim (ver anexo)", "1.15", "R$ 5,00"])
-def test_short_sound_answers(answer):
-    assert A.defect(Q, answer) == ""
+def test_short_sound_answers(answer, words):
+    assert A.defect(Q, answer, words) == ""
 
 
-def test_language_of_questions():
+def test_language_of_questions(words):
     spanish = "¿Cuándo se debe reemplazar la auditoría según la demanda?"
-    assert A.main_language(spanish) == "es" and A.defect(spanish, "El operador deberá revisar la auditoría en un plazo de 9 días hábiles.") == ""
-    assert A.main_language("Quel délai faut-il pour régler la facture ?") == "fr" and A.main_language("Who must review the demand?") == "en" and A.main_language(Q) == "pt"
+    assert A.main_language(spanish, words) == "es" and A.defect(spanish, "El operador deberá revisar la auditoría en un plazo de 9 días hábiles.", words) == ""
+    assert A.main_language("Quel délai faut-il pour régler la facture ?", words) == "fr" and A.main_language("Who must review the demand?", words) == "en" and A.main_language(Q, words) == "pt"
+
+
+def test_learned_words(spark):
+    rows = [("o prazo de revisão do contrato", "pt"), ("o prazo de revisão", "PT-br"), ("the term of the contract", " en"), ("the term of notice", "en"), (None, "pt"), ("o prazo", None), ("o", "?")]
+    words = A.learn_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert words["prazo"] == (frozenset({"pt"}), "pt") and words["the"][1] == "en" and A.learn_words(spark.createDataFrame([], "text string, lang string"), "text", "lang") == {}
+    assert A.defect(Q, "O prazo é de 30 dias.", {}) == ""  # without dictionaries no answer is foreign
 
 
-def test_pairs_in_spark(spark):
+def test_pairs_in_spark(spark, words):
     rng = random.Random(2)
     rows = [(i, f"{Q} {i % 40}", sentence(rng) + " " + sentence(rng)) for i in range(600)]
     for i in range(30):  # cut inside a word of the second half
@@ -139,10 +155,10 @@ def test_pairs_in_spark(spark):
         rows.append((1000 + i, f"{Q} {i % 40}", text[:at]))
     rows += [(2000, Q, None), (2001, None, "O prazo é de 30 dias."), (2002, None, None), (2003, Q, Q), (2003, Q, Q)]
     df = spark.createDataFrame([(i, q, (a,), a, "clash") for i, q, a in rows], "sample_id long, question string, out struct<a:string>, other string, side string")
-    got = A.find_defects(df, "sample_id", "question", {"generated": "out.a", "expected": "other"}).collect()
+    got = A.find_defects(df, "sample_id", "question", {"generated": "out.a", "expected": "other"}, words).collect()
     label = {(r.sample_id, r.side): r.defect for r in got}
     assert label[(2000, "generated")] == "empty" and label[(2002, "expected")] == "empty" and label[(2003, "expected")] == "copy"
     assert sum(r.sample_id == 2003 for r in got) == 4
     assert sum(label.get((1000 + i, "generated")) == "truncated" for i in range(30)) >= 27
     assert sum((i, "generated") in label for i in range(600)) <= 12
-    assert A.find_defects(df.limit(0), "sample_id", "question", {"generated": "out.a"}).count() == 0
+    assert A.find_defects(df.limit(0), "sample_id", "question", {"generated": "out.a"}, words).count() == 0
