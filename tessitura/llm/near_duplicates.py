@@ -24,8 +24,9 @@ from pyspark.sql.window import Window
 
 from tessitura.session import materialize
 
-#: At similarity 0.5 a pair is a candidate with probability 1 - (1 - 0.5**ROWS)**BANDS = 0.995.
-BANDS, ROWS = 40, 3
+#: A band has as many min-hashes as texts at the threshold agree in about this often; and the
+#: probability that such a pair agrees in no band at all.
+BAND_SHARE, BAND_MISS = 1 / 8, 0.005
 BATCHES = 4
 #: Classes of one band value that one task compares with one another.
 HOT = 2_000
@@ -109,18 +110,24 @@ def sequence_hash(words: np.ndarray) -> int:
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct 32-bit fingerprints of the runs of ``size`` words.
-
-    Two unlike runs of a pair of texts of 300 runs each share a fingerprint
-    with probability 2e-5, which moves a similarity by 0.002.
-    """
+    """Sorted distinct 64-bit fingerprints of the runs of ``size`` words."""
     n = len(words) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint64)
     run = words[:n]
     for i in range(1, size):
         run = _mixed(run) + words[i : i + n]
-    return np.unique((_mixed(run) >> np.uint64(32)).astype(np.uint32))
+    return np.unique(_mixed(run))
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and min-hashes of each for a threshold: at 0.5 they are 40 and 3."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"the threshold must be above 0 and at most 1, got {threshold}")
+    if threshold == 1:
+        return 1, 3
+    rows = max(1, round(np.log(BAND_SHARE) / np.log(threshold)))
+    return int(np.ceil(np.log(BAND_MISS) / np.log1p(-(threshold**rows)))), rows
 
 
 def _family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +154,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
             items = shingle_set(words, size)
             if not len(items):
                 continue
-            least = _min_hashes(items, family)
+            least = _min_hashes((items >> np.uint64(32)).astype(np.uint32), family)
             value = number
             for r in range(rows):
                 value = _mixed(value) + least[r * bands : (r + 1) * bands]
@@ -180,7 +187,7 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     for batch in batches:
         similarity = np.zeros(batch.num_rows)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             similarity[i] = both / (len(x) + len(y) - both)
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity)], names=["a", "b", "similarity"])
@@ -209,11 +216,12 @@ def _unlike(k: int):
     return F.bit_count(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}")))
 
 
-def _candidates(signatures: DataFrame, most_unlike: int) -> DataFrame:
+def _candidates(classes: DataFrame, most_unlike: int) -> DataFrame:
     """Distinct class pairs that share a band and pass the first batch."""
-    exploded = signatures.select(F.explode("bands").alias("band"), "cls", "bits0")
-    # Partitioned once by band: the copies fall together, the counts and the join need no other shuffle.
-    banded = exploded.repartition("band").dropDuplicates(["band", "cls"]).withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1")
+    exploded = classes.select(F.explode("bands").alias("band"), "cls", "bits0")
+    # Counted by a partial aggregation, then written: a hot value's rows never meet in a task to be counted, and AQE can split them below.
+    sizes = materialize(exploded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    banded = exploded.join(sizes, "band")
     usual, hot = banded.where(f"n <= {HOT}"), banded.where(f"n > {HOT}")
     close = (F.col("x.cls") < F.col("y.cls")) & (_unlike(0) <= most_unlike)
     pairs = usual.alias("x").join(usual.alias("y"), (F.col("x.band") == F.col("y.band")) & close)
@@ -227,11 +235,14 @@ def _candidates(signatures: DataFrame, most_unlike: int) -> DataFrame:
 
 def near_duplicate_classes(
     df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, shingle: int = 3, miss: float = 0.001,
-    bands: int = BANDS, rows: int = ROWS,
+    bands: int | None = None, rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Members (``cls, id``) and links between unlike classes (``a, b,
     similarity``) whose similarity is at least ``threshold``; links between
-    classes of one and the same id are left out."""
+    classes of one and the same id are left out.  ``bands`` of ``rows``
+    min-hashes follow the threshold where they aren't given (``banding``)."""
+    usual = banding(threshold)
+    bands, rows = bands or usual[0], rows or usual[1]
     texts = df.select(df[id_col].cast("string").alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
     kinds = ", ".join(f"bits{k} bigint" for k in range(BATCHES))
     signatures = materialize(texts.mapInArrow(lambda b: _signatures(b, shingle, bands, rows), f"id string, cls bigint, bands array<bigint>, {kinds}"), "signatures")
@@ -239,8 +250,10 @@ def near_duplicate_classes(
     least = least_matches(threshold, miss)
 
     own = F.xxhash64("id")
-    known = signatures.groupBy("cls").agg(*(F.max(f"bits{k}").alias(f"bits{k}") for k in range(1, BATCHES)), F.min(own).alias("low"), F.max(own).alias("high"))
-    pairs = _candidates(signatures, 64 - least[0])
+    single = signatures.groupBy("cls").agg(F.first("bands").alias("bands"), *(F.first(f"bits{k}").alias(f"bits{k}") for k in range(BATCHES)), F.min(own).alias("low"), F.max(own).alias("high"))
+    classes = materialize(single, "classes")
+    known = classes.drop("bands", "bits0")
+    pairs = _candidates(classes.select("cls", "bands", "bits0"), 64 - least[0])
     pairs = pairs.join(known.alias("x"), F.col("a") == F.col("x.cls")).join(known.alias("y"), F.col("b") == F.col("y.cls"))
     one_id = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
     pairs = pairs.where(~one_id)
@@ -250,10 +263,10 @@ def near_duplicate_classes(
         pairs = pairs.where(unlike <= 64 * k - least[k - 1])
     survivors = materialize(pairs.select("a", "b"), "survivors")
 
+    wanted = survivors.select(F.col("a").alias("cls")).unionByName(survivors.select(F.col("b").alias("cls"))).distinct()
     sets = texts.select("text").mapInArrow(lambda b: _sets(b, shingle), "cls bigint, items binary")
-    sets = sets.groupBy("cls").agg(F.first("items").alias("items"))
-    partners = survivors.groupBy("a").agg(F.collect_list("b").alias("partners"))
-    left = partners.join(sets, partners["a"] == sets["cls"]).select("a", F.explode("partners").alias("b"), F.col("items").alias("items_a"))
+    sets = sets.join(materialize(wanted, "wanted"), "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
+    left = survivors.join(sets.withColumnRenamed("items", "items_a"), F.col("a") == F.col("cls")).select("a", "b", "items_a")
     both = left.join(sets.withColumnsRenamed({"cls": "c", "items": "items_b"}), F.col("b") == F.col("c")).select("a", "b", "items_a", "items_b")
     links = both.mapInArrow(lambda b: _verify(b, threshold), "a bigint, b bigint, similarity double")
     return members, links
@@ -309,4 +322,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **settings)
     found = components(edges, nodes).where("startswith(node, 'i')").select(F.substring("node", 2, 1 << 30).alias("id"), F.substring("component", 2, 1 << 30).alias("group_id"))
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n"))
     per_id = members.join(degree, "cls").groupBy("id").agg(F.sum("n").alias("links"))
-    return found.join(per_id, "id", "left").select(F.col("id").alias(id_col), "group_id", F.coalesce("links", F.lit(0)).alias("links"))
+    # Texts too short for a run of words are like nothing: groups of their own.
+    ids = df.select(df[id_col].cast("string").alias("id"), df[text_col].alias("text")).where("id is not null and text is not null").select("id").distinct()
+    every = ids.join(found, "id", "left").join(per_id, "id", "left")
+    return every.select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

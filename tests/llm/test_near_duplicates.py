@@ -68,6 +68,19 @@ def test_groups(spark):
         assert got[a] == got[b]
     assert len({got[f"s{i}"] for i in range(12)}) == 1 and got["d000"].startswith("d000")
     assert got["s3"] == "s0"
+    assert got["c1"] == "c1" and got["e1"] == "e1" and "n1" not in got  # too short for a run, but with a text
+
+
+def test_bands_follow_the_threshold(spark):
+    assert N.banding(0.5) == (40, 3)
+    for t in (0.2, 0.3, 0.4, 0.8, 0.95):
+        bands, rows = N.banding(t)
+        assert (1 - t**rows) ** bands <= N.BAND_MISS
+    rows = made(6)
+    for t in (0.3, 0.8):
+        got = {(r.id_a, r.id_b) for r in N.near_duplicate_pairs(frame(spark, rows), "id", "texto", threshold=t).collect()}
+        want = brute(rows, t)
+        assert got <= want and len(got) >= 0.97 * len(want) > 20
 
 
 def test_words_are_those_of_the_pattern(monkeypatch):
