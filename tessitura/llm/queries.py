@@ -88,8 +88,21 @@ gone AS (SELECT registro, linha_no FROM keyed JOIN cases ON cases.fonte = keyed.
 """
 
 
+_BLOCKS = r"""
+, eligible AS (SELECT registro, id, fonte, list(k ORDER BY linha_no) AS ks FROM keyed WHERE length(k) >= 15 GROUP BY ALL),
+starts AS (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM eligible),
+parts2 AS (SELECT *, unnest(range(i, least(i + 16, len(ks) + 1))) AS j FROM starts),
+blocks AS (SELECT p.fonte, p.ks[i : j] AS block, count(DISTINCT id) AS docs, count(*) AS places, n FROM parts2 p JOIN totals ON totals.fonte = p.fonte
+  GROUP BY ALL HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.05 * n),
+held AS (SELECT DISTINCT fonte, places, unnest([block[1 : len(block) - 1], block[2 : len(block)]]) AS part FROM blocks WHERE len(block) > 1)
+SELECT fonte AS source, CAST(len(block) AS INT) AS n_lines, docs, places, n AS source_docs FROM blocks
+WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.fonte = blocks.fonte AND held.part = blocks.block AND held.places = blocks.places)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        # Blocks of up to 16 lines; these tables have none longer.
+        "p2_blocks": _LINES + _BLOCKS,
         "p3_found": r"""
 WITH words AS (SELECT DISTINCT id, regexp_extract_all(lower(texto), '[\p{L}\p{N}]+') AS w FROM corpus WHERE id IS NOT NULL AND texto IS NOT NULL),
 texts AS (SELECT row_number() OVER (ORDER BY id, w) AS t, id, w FROM words WHERE len(w) >= 3),
