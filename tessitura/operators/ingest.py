@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tessitura.functions.keys import strip
 from tessitura.functions.times import instant_micros
 from tessitura.schemas import DOCUMENT_KEY, DOCUMENT_REQUIRED, METHODS, MIN_TEXT
+from tessitura.session import materialize
 
 
 def latest_per_key(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
@@ -19,6 +20,14 @@ def latest_per_key(df: DataFrame, keys: tuple[str, ...], *order: Column) -> Data
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def latest_of_few(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The same for a key of which few rows are repeats: only those are shuffled with their columns."""
+    repeated = materialize(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias("_more")), "repeated")
+    marked = df.join(repeated, key, "left")
+    single = marked.where("_more is null").drop("_more")
+    return single.unionByName(latest_per_key(marked.where("_more").drop("_more"), (key,), *order))
+
+
 def upsert(current: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = DOCUMENT_KEY, tie: str = "registro") -> DataFrame:
     """Union in which the row last scraped wins; an unreadable time precedes
     every other, on equal times the incoming row wins, then the larger ``tie``."""

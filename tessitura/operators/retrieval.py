@@ -15,8 +15,8 @@ from tessitura.functions.keys import strip
 from tessitura.schemas import EXCLUDED_STATUS
 
 POOL_FACTOR, POOL_LEAST = 5, 50
-#: Queries that meet a batch of items at once.
-QUERY_BLOCK = 256
+#: Rows of a block of items and of queries, and copies of the query blocks that spread the item blocks of a part.
+ITEM_BLOCK, QUERY_BLOCK, SALTS = 2_048, 256, 8
 
 
 def pool_size(k: int, override: int | None = None, widened: bool = False) -> int:
@@ -44,70 +44,91 @@ def unit(vector: Column) -> Column:
     return F.transform(vector.cast("array<double>"), lambda x: x / F.when(n > 0, n).otherwise(1.0))
 
 
-def _partial_top(batches: Iterator[pa.RecordBatch], k: int, decimals: int) -> Iterator[pa.RecordBatch]:
-    """Of each query of a block its best items of the batch, ties to the smaller item."""
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (``part, item, vector``) as blocks: one row with the items in order and their unit vectors as a matrix."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        items = batch.column("item").to_numpy(zero_copy_only=False)
-        for b in np.unique(blocks):
-            rows = np.flatnonzero(blocks == b)
-            rows = rows[np.argsort(items[rows], kind="stable")]
-            vectors = batch.column("vector").take(pa.array(rows))
-            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-            held = batch.column("queries")[int(rows[0])].as_py()
-            q = np.array([h["vector"] for h in held], np.float64)
-            if x.shape[1:] != q.shape[1:]:
+        table = pa.Table.from_batches([batch]).sort_by([("part", "ascending"), ("item", "ascending")]).combine_chunks()
+        parts = table.column("part").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        at = np.unique(np.concatenate([np.arange(a, b, rows) for a, b in zip(starts, np.append(starts[1:], len(parts)))]))
+        vectors, ends = table.column("vector").combine_chunks(), np.append(at[1:], len(parts))
+        matrices = []
+        for a, b in zip(at, ends):
+            block = vectors.slice(a, b - a)
+            x = block.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            if len(x) % (b - a) or len(set(block.value_lengths().to_pylist())) > 1:
+                raise ValueError("vectors of one part must have one length")
+            x = x.reshape(b - a, -1)
+            matrices.append((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).tobytes())
+        items = pa.ListArray.from_arrays(pa.array(np.append(at, len(parts)).astype(np.int32)), table.column("item").combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array(parts[at]), items, pa.array(matrices, pa.binary())], names=["part", "items", "matrix"])
+
+
+def _partial_top(batches: Iterator[pa.RecordBatch], k: int, decimals: int) -> Iterator[pa.RecordBatch]:
+    """Of each query of a block its best items of the other block, ties to the smaller item."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            asked, held = (batch.column(c)[row].values for c in ("queries", "items"))
+            q, x = (np.frombuffer(batch.column(c)[row].as_buffer()).reshape(len(n), -1) for c, n in (("asking", asked), ("matrix", held)))
+            if x.shape[1] != q.shape[1]:
                 raise ValueError("queries and items have vectors of different lengths")
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             score = np.round(q @ x.T, decimals)
-            found = []
-            for i, h in enumerate(held):
-                near = np.flatnonzero(score[i] >= np.partition(score[i], -(k + 1))[-(k + 1)]) if len(rows) > k + 1 else np.arange(len(rows))
+            names, items = (c.to_numpy(zero_copy_only=False) for c in (asked, held))
+            rows, cols = [], []
+            for i in range(len(names)):
+                near = np.flatnonzero(score[i] >= np.partition(score[i], -(k + 1))[-(k + 1)]) if len(items) > k + 1 else np.arange(len(items))
                 best = near[np.argsort(-score[i][near], kind="stable")]
-                best = best[items[rows][best] != h["query"]][:k]
-                found.append((np.full(len(best), h["query"]), items[rows][best], score[i][best]))
-            names = ["query", "item", "score"]
-            columns = [np.concatenate(c) for c in zip(*found)]
-            kinds = [batch.schema.field("queries").type.value_type.field("query").type, batch.schema.field("item").type, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+                best = best[items[best] != names[i]][:k]
+                rows.append(np.full(len(best), i))
+                cols.append(best)
+            rows, cols = np.concatenate(rows), np.concatenate(cols)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column("part")[row].as_py()] * len(rows), pa.string()), asked.take(pa.array(rows)), held.take(pa.array(cols)), pa.array(score[rows, cols])], names=["part", "query", "item", "score"]
+            )
 
 
 def exact_top_k(queries: DataFrame, items: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-    """``query, item, score, rank`` of the ``k`` items of largest cosine.
-
-    ``queries``: ``query, vector``; ``items``: ``item, vector``; an item is no
-    neighbour of the query that is equal to it.  The query set meets all items in
-    blocks of ``QUERY_BLOCK``; every batch of items keeps ``k`` per query, so
-    what is shuffled is queries x batches x k rows.
+    """``part, query, item, score, rank`` of the ``k`` items of largest cosine
+    in each part.
+
+    ``queries``: ``query, vector``; ``items``: ``item, vector``; both may have
+    a string ``part``, and a query meets the items of its part only.  An item
+    is no neighbour of the query that is equal to it.  Blocks of queries meet
+    blocks of items, so a vector is sent once per block it meets; each pair of
+    blocks keeps ``k`` per query.
     """
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "vector")).alias("queries"))
-    # A stated query set, in blocks, against all items.
-    met = items.select("item", "vector").where("item is not null and vector is not null").crossJoin(blocks)
+    def blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
+        part = F.coalesce("part", F.lit("")) if "part" in df.columns else F.lit("")
+        held = df.select(part.alias("part"), F.col(key).alias("item"), "vector").where("item is not null and vector is not null")
+        kind = df.schema[key].dataType.simpleString()
+        return held.mapInArrow(lambda b: _blocks(b, rows), f"part string, items array<{kind}>, matrix binary")
+
+    asking = blocks(queries, "query", QUERY_BLOCK).select("part", F.col("items").alias("queries"), F.col("matrix").alias("asking"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = blocks(items, "item", ITEM_BLOCK).withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c, df in (("query", queries), ("item", items)))
-    partial = met.mapInArrow(lambda b: _partial_top(b, k, decimals), f"{kinds}, score double")
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "item")
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # A stated query set, in blocks, against all items.
+    met = held.join(asking, ["part", "salt"]).select("part", "queries", "asking", "items", "matrix")
+    partial = met.mapInArrow(lambda b: _partial_top(b, k, decimals), f"part string, {kinds}, score double")
+    w = Window.partitionBy("part", "query").orderBy(F.desc("score"), "item")
+    found = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found if "part" in items.columns else found.drop("part")
 
 
-def hash_embedding(df: DataFrame, key: str, text_col: str, dims: int = 64) -> DataFrame:
-    """``key, dim, value``: sparse hash embedding of length one. A token adds 1
-    to the dimension of its hash; texts without tokens have no rows."""
-    token = F.explode(T.words(F.lower(F.col(text_col))))
-    dim = F.conv(F.substring(F.sha2("token", 256), 1, 8), 16, 10).cast("long") % dims
-    counts = df.select(key, token.alias("token")).select(key, dim.cast("int").alias("dim")).groupBy(key, "dim").agg(F.count("*").alias("n"))
-    squares = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key))
-    return counts.select(key, "dim", (F.col("n") / F.sqrt(squares)).alias("value"))
+def hash_vector(text: Column, dims: int = 64) -> Column:
+    """Hash embedding of length one: a token adds 1 to the dimension of its
+    hash; null where there are no tokens. Made in the row, without a shuffle."""
+    dim = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dims).cast("int")
+    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(held, lambda x: x == d)).cast("double"))
+    # Bound by lambdas, so that each step is computed once.
+    made = F.transform(F.array(F.transform(T.words(F.lower(text)), dim)), counts)
+    return F.filter(F.transform(made, unit), lambda v: F.exists(v, lambda x: x > 0))[0]
 
 
-def dense(sparse: DataFrame, key: str, dims: int = 64) -> DataFrame:
-    """``key, vector``: sparse rows (``key, dim, value``) as arrays of ``dims`` numbers."""
-    held = F.map_from_entries(F.collect_list(F.struct("dim", "value")))
-    each = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.try_element_at("held", d), F.lit(0.0)))
-    return sparse.groupBy(key).agg(held.alias("held")).select(key, each.alias("vector"))
+def hash_embedding(df: DataFrame, key: str, text_col: str, dims: int = 64) -> DataFrame:
+    """``key, dim, value``: the same as sparse rows; texts without tokens have none."""
+    return df.select(key, F.posexplode(hash_vector(F.col(text_col), dims)).alias("dim", "value")).where("value > 0")
 
 
 def passes_status(status: Column, excluded: tuple[str, ...] = EXCLUDED_STATUS) -> Column:
@@ -139,6 +160,23 @@ def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return single.select("query", "parent_chunk_id", "score", F.row_number().over(order).alias("rank"))
 
 
+def lexical_share(query: Column, text: Column) -> Column:
+    """Share of the query's distinct words that a text has: a reranker without a model."""
+    asked = F.array_distinct(T.words(F.lower(query)))
+    return F.size(F.array_intersect(asked, T.words(F.lower(text)))) / F.greatest(F.lit(1), F.size(asked))
+
+
+def of_named_module(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``query, chunk_id`` of the chunks of documents of the submodule that a
+    query (``query, question``) names: joined on the submodule."""
+    q = queries.select("query", T.query_module(F.col("question")).alias("module")).where("module is not null")
+    documents = chunks.select("document_id").distinct()
+    named = F.array_distinct(F.regexp_extract_all("document_id", F.lit(r"(?:subm|rede-)(\d+-\d+[a-z]?)(?![0-9a-z])"), 1))
+    d = documents.select("document_id", F.explode(named).alias("module"))
+    met = q.join(d, "module").where(T.matches_module(F.col("document_id"), F.col("module"))).select("query", "document_id")
+    return met.join(chunks.select("document_id", "chunk_id"), "document_id").select("query", "chunk_id").distinct()
+
+
 def inject(candidates: DataFrame, matching: DataFrame) -> DataFrame:
     """Add matching chunks that aren't candidates yet (``query, chunk_id``), with score 0."""
     fresh = matching.select("query", "chunk_id").distinct().join(candidates, ["query", "chunk_id"], "left_anti")

@@ -10,6 +10,7 @@ from tessitura.functions.keys import loose_id
 from tessitura.operators import evaluation as E
 from tessitura.operators import matching as M
 from tessitura.operators import retrieval as R
+from tessitura.operators.ingest import latest_of_few
 from tessitura.plans.registry import register
 from tessitura.session import materialize, table
 
@@ -68,7 +69,7 @@ d AS (SELECT {key}, CAST(CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 6
 @register("WITH " + _HASHED.format(key="question_id", text="question", source="gt_questions WHERE question IS NOT NULL")
     + " SELECT question_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY question_id)), 6) AS value FROM d")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = R.hash_embedding(table(spark, sf_dir, "gt_questions").where("question is not null"), "question_id", "question")
+    made = R.hash_embedding(table(spark, sf_dir, "gt_questions"), "question_id", "question")
     return made.select("question_id", "dim", F.round("value", 6).alias("value"))
 
 
@@ -110,20 +111,34 @@ def module_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(d, "module").where(T.matches_module(F.col("document_id"), F.col("module"))).select("question_id", "module", "document_id").distinct()
 
 
+_CHUNK = ("chunk_id", "document_id", "chunk_strategy", "metodo_extracao", "parent_chunk_id", "situacao", "texto", "artigo", "paragrafo", "inciso", "alinea")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with a text once, with its hash embedding; written, as searches read it several times."""
+    rows = table(spark, sf_dir, "metadata").where("texto is not null and chunk_strategy is not null").select(*_CHUNK, "indexed_at")
+    first = latest_of_few(rows, "chunk_id", F.asc("indexed_at"), F.asc("texto")).drop("indexed_at")
+    return materialize(first.withColumn("document_id", loose_id(F.col("document_id"))).withColumn("vector", R.hash_vector(F.col("texto"))), "chunks")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: every audited answer whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "gt_audit_passing_sample").where("sample_id % 100 = 0 and question is not null")
+    return rows.select(F.col("sample_id").alias("query"), "question_id", "question").withColumn("vector", R.hash_vector(F.col("question")))
+
+
+def _allowed(pool: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Candidates in force and of versions that aren't superseded."""
+    gone = R.superseded(chunks.select("document_id")).select("document_id")
+    return pool.join(chunks.select("chunk_id", "document_id", "situacao", *columns), "chunk_id").where(R.passes_status(F.col("situacao"))).join(gone, "document_id", "left_anti")
+
+
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Queries (every audited answer whose id is divisible by 100), chunks, and
-    each query's ten best chunks in force by hash embedding."""
-    queries = table(spark, sf_dir, "gt_audit_passing_sample").where("sample_id % 100 = 0 and question is not null")
-    queries = queries.select(F.col("sample_id").alias("query"), "question_id", "question")
-    chunks = table(spark, sf_dir, "metadata").where("texto is not null and chunk_strategy <> 'hierarchical-child'")
-    first = F.min_by(F.struct(*(c for c in chunks.columns if c not in ("chunk_id", "embedding"))), F.struct("indexed_at", "texto"))
-    chunks = chunks.groupBy("chunk_id").agg(first.alias("c")).select("chunk_id", "c.*").withColumn("document_id", loose_id(F.col("document_id")))
-    qv = R.dense(R.hash_embedding(queries, "query", "question"), "query")
-    cv = R.dense(R.hash_embedding(chunks, "chunk_id", "texto"), "chunk_id").withColumnRenamed("chunk_id", "item")
-    pool = R.exact_top_k(qv, cv, R.pool_size(10, widened=True)).withColumnRenamed("item", "chunk_id").drop("rank")
-    gone = R.superseded(chunks.select("document_id"))
-    allowed = pool.join(chunks.select("chunk_id", "document_id", "situacao"), "chunk_id").where(R.passes_status(F.col("situacao"))).join(gone, "document_id", "left_anti")
-    return queries, chunks, R.best_first(allowed.select("query", "chunk_id", "score"), 10)
+    """Queries, chunks, and each query's ten best chunks in force by hash embedding."""
+    queries = _queries(spark, sf_dir)
+    chunks = _chunks(spark, sf_dir).where("chunk_strategy <> 'hierarchical-child'")
+    pool = R.exact_top_k(queries, chunks.select(F.col("chunk_id").alias("item"), "vector"), R.pool_size(10, widened=True)).withColumnRenamed("item", "chunk_id").drop("rank")
+    return queries.drop("vector"), chunks, R.best_first(_allowed(pool, chunks).select("query", "chunk_id", "score"), 10)
 
 
 _SEARCH = ("WITH q AS (SELECT sample_id AS query, question_id, question FROM gt_audit_passing_sample WHERE sample_id % 100 = 0 AND question IS NOT NULL), "
