@@ -71,7 +71,33 @@ def test_html(spark):
     assert one(spark, H.html_text(F.col("h")), h=page) == "Um texto & mais texto."
     md = one(spark, H.html_markdown(F.col("h")), h=page)
     assert "**texto** & mais" in md and "## Título" in md and "* um" in md and "var x" not in md
-    assert [tuple(x) for x in one(spark, H.links(F.col("h")), h=page)] == [("/a.PDF?v=1", "Arquivo um")]
+    assert [tuple(x) for x in one(spark, H.links(F.col("h")), h=page)] == [("x", "n"), ("/a.PDF?v=1", "Arquivo um")]
+    seen = one(spark, H.links(F.col("h"), F.lit("https://s.example/atos/2020/i.html?x#y")), h="<A HREF='/a'>1</A><a href=b.pdf>2</a><a href=\"./c&amp;d\">3</a><a href='//o.example/e'>4</a><a href='mailto:x@y'>5</a><a href=''>6</a>")
+    assert [x.href for x in seen] == ["https://s.example/a", "https://s.example/atos/2020/b.pdf", "https://s.example/atos/2020/c&d", "https://o.example/e", "mailto:x@y"]
+    assert one(spark, H.absolute(F.lit("a"), F.col("h")), h="https://s.example") == "https://s.example/a"
+
+
+def test_entities(spark):
+    text = "regula&ccedil;&atilde;o &#233; &#xE9;&#x1F50C; &amp;lt; &nada; &nbsp;&euro; &#0; &#55296; R&D; fim&"
+    assert one(spark, H.unescape(F.col("h")), h=text) == "regulação é é🔌 &lt; &nada; \xa0€ &#0; &#55296; R&D; fim&"
+    assert one(spark, H.unescape(F.col("h")), h="sem nada") == "sem nada" and one(spark, H.unescape(F.lit(None).cast("string")), h="") is None
+
+
+def test_combining_accents(spark):
+    import unicodedata
+
+    text = "Regulação da DISTRIBUIÇÃO nº 3"
+    for form in ("NFC", "NFD"):
+        t = unicodedata.normalize(form, text)
+        assert one(spark, T.normalized(F.col("h")), h=t) == "regulacao da distribuicao no 3"
+        assert one(spark, T.slug(F.col("h")), h=t) == "regulacao-da-distribuicao-n-3"
+
+
+def test_answers_and_ids(spark):
+    assert one(spark, T.cited_indices(F.col("h"), F.lit(3)), h="a [2] b [1][2] c [7] [0] [x]") == [2, 1]
+    assert one(spark, T.path_id(F.col("h")), h="https://s.example/atos/REN nº 1000.2021.pdf?v=1") == "ren-n-1000-2021"
+    assert one(spark, T.plain_text(F.lit(None).cast("string"), F.col("h")), h=" a\xa0\n") == "a"
+    assert one(spark, T.finite(F.col("h").cast("double")), h="NaN") is None and one(spark, T.finite(F.col("h").cast("double")), h="2") == 2.0
     assert one(spark, H.file_format(F.col("u")), u="/a.PDF?v=1") == "pdf" and one(spark, H.file_format(F.col("u")), u="/a") is None
 
 
