@@ -66,10 +66,35 @@ def catalog(docs: DataFrame, order: str = "registro") -> DataFrame:
     return docs.groupBy("id").agg(first.alias("m"), F.array_join(texts, "\n").alias("texto"), F.count("*").alias("n_rows")).select("id", "m.*", "texto", "n_rows")
 
 
+#: Values of a numeric order that lie in one block when a large group is numbered.
+NUMBER_BLOCK = 1 << 16
+
+
 def suffixed(df: DataFrame, base: str, order: str, out: str) -> DataFrame:
-    """Unique ids: the second row of a base gets ``-2``, the third ``-3``."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return df.withColumn(out, F.when(n > 1, F.concat(base, F.lit("-"), n.cast("string"))).otherwise(F.col(base)))
+    """Unique ids: the second row of a base by ``order`` (a unique number) gets
+    ``-2``, the third ``-3``.  Rows are counted in blocks of the order first, so
+    that a base of very many rows is numbered in many tasks."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / NUMBER_BLOCK))
+    counts = blocked.groupBy(base, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(base).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    held = counts.select(F.col(base).alias("_base"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(base, "_block").orderBy(order))
+    n = F.col("_before") + F.col("_own")
+    joined = blocked.withColumn("_own", own).join(held, F.col(base).eqNullSafe(F.col("_base")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return joined.withColumn(out, F.when(n > 1, F.concat(base, F.lit("-"), n.cast("string"))).otherwise(F.col(base))).select(*df.columns, out)
+
+
+def numbered(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """Rows numbered from 1 through the whole table in an order: sorted by
+    ranges, each range numbered on its own behind the counts of those before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    # Written in that order, so that counts and rows see the same ranges.
+    ranged = materialize(ranged, "ranges")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # one row per range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_own", own).join(held, "_part").select(*df.columns, (F.col("_before") + F.col("_own")).alias(out))
 
 
 def any_of(*conditions: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql.window import Window
 from tessitura.functions import text as T
 from tessitura.functions.keys import loose_id
 from tessitura.operators import chunking
+from tessitura.operators.ingest import latest_of_few
 from tessitura.operators.ordered import ordered_digest
 from tessitura.plans.registry import register
 from tessitura.schemas import CHUNK_REQUIRED, STRATEGIES
-from tessitura.session import table
+from tessitura.session import materialize, table
 
 _SPACES = r"[\s\p{Z}\x{85}\x1c-\x1f]+"
 _WORDS = f"list_filter(string_split_regex(text, '{_SPACES}'), lambda x: x <> '')"
@@ -121,14 +122,14 @@ def chunk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""SELECT chunk_strategy, metodo_extracao, count(*) AS n, min(w) AS least, CAST(floor(quantile_cont(w, 0.5)) AS INT) AS p50,
   CAST(floor(quantile_cont(w, 0.95)) AS INT) AS p95, CAST(floor(quantile_cont(w, 0.99)) AS INT) AS p99, max(w) AS most,
-  count(*) FILTER (WHERE w < 10) AS tiny, count(*) FILTER (WHERE w < 30) AS small, round(count(*) FILTER (WHERE w < 30) / count(*), 4) AS small_share
+  count(*) FILTER (WHERE w < 10) AS tiny, count(*) FILTER (WHERE w < 30) AS small, round(count(*) FILTER (WHERE w < 30) / count(*), 4) AS small_share, count(*) FILTER (WHERE w > 6000) AS huge
 FROM (SELECT chunk_strategy, metodo_extracao, CAST(len({_WORDS}) AS INT) AS w FROM (SELECT chunk_strategy, metodo_extracao, texto AS text FROM metadata WHERE texto IS NOT NULL)) GROUP BY ALL""")
 def chunk_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "metadata").where("texto is not null").select("chunk_strategy", "metodo_extracao", F.size(T.words(F.col("texto"))).alias("w"))
     q = lambda p: F.floor(F.percentile("w", F.lit(p))).cast("int")
     return rows.groupBy("chunk_strategy", "metodo_extracao").agg(
         F.count("*").alias("n"), F.min("w").alias("least"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max("w").alias("most"),
-        F.count_if(F.col("w") < 10).alias("tiny"), F.count_if(F.col("w") < 30).alias("small"), F.round(F.count_if(F.col("w") < 30) / F.count("*"), 4).alias("small_share"))
+        F.count_if(F.col("w") < 10).alias("tiny"), F.count_if(F.col("w") < 30).alias("small"), F.round(F.count_if(F.col("w") < 30) / F.count("*"), 4).alias("small_share"), F.count_if(F.col("w") > 6000).alias("huge"))
 
 
 _NOISE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{label}'" for label, pattern in T.NOISE) + " ELSE 'outro' END"
@@ -145,9 +146,10 @@ def noise_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""SELECT chunk_id, CAST(len({_WORDS}) AS INT) AS n_words, coalesce(try_cast(string_split(chunk_id, '::')[-1] AS INT), -1) AS parsed_index
 FROM (SELECT DISTINCT chunk_id, texto AS text FROM metadata WHERE texto IS NOT NULL) ORDER BY n_words, chunk_id LIMIT 5""")
 def smallest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "metadata").where("texto is not null").select("chunk_id", "texto").distinct()
-    sized = rows.select("chunk_id", F.size(T.words(F.col("texto"))).alias("n_words"), T.index_of_chunk(F.col("chunk_id")).alias("parsed_index"))
-    return sized.orderBy("n_words", "chunk_id").limit(5)
+    rows = table(spark, sf_dir, "metadata").where("texto is not null")
+    # Of the text only its size and hash go through the shuffle.
+    sized = rows.select("chunk_id", F.size(T.words(F.col("texto"))).alias("n_words"), T.index_of_chunk(F.col("chunk_id")).alias("parsed_index"), F.xxhash64("texto").alias("h")).distinct()
+    return sized.orderBy("n_words", "chunk_id").limit(5).drop("h")
 
 
 @register("""SELECT chunk_id, concat_ws(', ', coalesce(nullif(titulo, ''), document_id), nullif(artigo, ''), nullif(paragrafo, ''),
@@ -180,10 +182,28 @@ def ordered_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC, texto) AS r FROM metadata) WHERE r = 1)
 WINDOW w AS (PARTITION BY document_id, metodo_extracao, chunk_strategy ORDER BY chunk_index, chunk_id)""")
 def adjacent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = Window.partitionBy("chunk_id").orderBy(F.desc("indexed_at"), "texto")
-    rows = table(spark, sf_dir, "metadata").select("chunk_id", "document_id", "metodo_extracao", "chunk_strategy", "chunk_index", "texto", "indexed_at")
-    rows = rows.withColumn("r", F.row_number().over(last)).where("r = 1")
-    w = Window.partitionBy("document_id", "metodo_extracao", "chunk_strategy").orderBy("chunk_index", "chunk_id")
-    follows = F.lead("chunk_index").over(w) == F.col("chunk_index") + 1
-    both = F.concat("texto", F.when(follows, F.concat(F.lit(" "), F.coalesce(F.lead("texto").over(w), F.lit("")))).otherwise(""))
-    return rows.select("chunk_id", F.when(follows, F.lead("chunk_id").over(w)).alias("next_id"), F.md5(both).alias("digest"))
+    rows = _placed(spark, sf_dir)
+    joined = _followed(rows)
+    both = F.concat("texto", F.when(F.col("next_id").isNotNull(), F.concat(F.lit(" "), F.coalesce("next_text", F.lit("")))).otherwise(""))
+    return joined.select("chunk_id", "next_id", F.md5(both).alias("digest"))
+
+
+_PLACE = ("document_id", "metodo_extracao", "chunk_strategy")
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk once, as it was indexed last, with its place; first and last of the chunks at its place are marked."""
+    rows = table(spark, sf_dir, "metadata").select("chunk_id", *_PLACE, "chunk_index", "texto", "indexed_at")
+    rows = latest_of_few(rows, "chunk_id", F.desc("indexed_at"), F.asc("texto")).drop("indexed_at")
+    same = Window.partitionBy(*_PLACE, "chunk_index")  # copies of one place, not a whole document
+    rows = rows.withColumn("is_first", F.col("chunk_id") == F.min("chunk_id").over(same)).withColumn("is_last", F.col("chunk_id") == F.max("chunk_id").over(same))
+    return materialize(rows, "placed")
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the chunk at the next index of their document: an equi-join on the place, so a large document is spread."""
+    after = rows.where("is_first").select(*(F.col(c).alias(f"_{c}") for c in _PLACE), (F.col("chunk_index") - 1).alias("_index"), F.col("chunk_id").alias("next_id"), F.col("texto").alias("next_text"))
+    same = F.col("is_last") & (F.col("chunk_index") == F.col("_index"))
+    for c in _PLACE:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(after, same, "left")

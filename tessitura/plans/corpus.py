@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
 from tessitura.functions.keys import strip
-from tessitura.functions.times import instant_micros, parse_instant
+from tessitura.functions.times import parse_instant
 from tessitura.operators import ingest
 from tessitura.plans.registry import register, sql_utc
 from tessitura.schemas import DOCUMENT_REQUIRED, IN_FORCE
@@ -21,9 +21,9 @@ _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x{{85}}\x1c-\x1f]+|[\s\p{{Z}}\x{{85}}
   SELECT *, row_number() OVER (PARTITION BY id, metodo_extracao ORDER BY {_PARSED} DESC, registro DESC) AS r FROM corpus) WHERE r = 1""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = table(spark, sf_dir, "corpus").select("registro", "id", "metodo_extracao", "fonte", "scraped_at")
-    old, new = corpus.where("registro % 2 = 0"), corpus.where("registro % 2 = 1")
-    # Both halves together are the whole table; ties go to the incoming half, then to the larger registro.
-    merged = ingest.latest_per_key(old.unionByName(new), ("id", "metodo_extracao"), instant_micros(F.col("scraped_at")).desc(), F.desc("registro"))
+    # The later half of the rows comes in; both halves together are the whole table.
+    middle = corpus.agg(F.avg("registro")).first()[0] or 0.0
+    merged = ingest.upsert(corpus.where(F.col("registro") <= middle), corpus.where(F.col("registro") > middle))
     return merged.select("registro", "id", "metodo_extracao", "fonte")
 
 
@@ -112,4 +112,7 @@ def resolution_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT event_id, strftime(make_timestamp((epoch_us(ts) // 1000) * 1000), '%Y-%m-%d') AS day,
   try_cast(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
 def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.substring(F.col("ts").cast("string"), 1, 10).alias("day"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    """Days of epoch milliseconds."""
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    day = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(millis).cast("timestamp_ntz")), "yyyy-MM-dd")
+    return table(spark, sf_dir, "events").select("event_id", day.alias("day"), F.get_json_object("props", "$.k").try_cast("int").alias("k"))

@@ -128,10 +128,7 @@ def pairing_asymmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_PAIRED + """SELECT pair, question_id, 'saved' AS change FROM paired WHERE ok_after AND NOT ok_before UNION ALL
 SELECT pair, question_id, 'broken' FROM paired WHERE ok_before AND NOT ok_after""")
 def saved_and_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paired(spark, sf_dir)
-    fails = lambda s: p.where(~F.col(f"answer_usable_{s}")).select("pair", "question_id")
-    saved = fails("before").exceptAll(fails("after")).withColumn("change", F.lit("saved"))
-    return saved.unionByName(fails("after").exceptAll(fails("before")).withColumn("change", F.lit("broken")))
+    return _paired(spark, sf_dir).where("bucket in ('saved', 'broken')").select("pair", "question_id", F.col("bucket").alias("change"))
 
 
 @register(f"""SELECT config, round(avg(doc_recall_at_k), 3) AS doc_recall, round(avg(ndcg_at_k), 3) AS ndcg, round(avg(latency_ms), 1) AS latency

@@ -46,5 +46,5 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     import importlib
 
-    for module in ("references", "corpus", "chunks", "evaluation", "retrieval", "pages"):
+    for module in ("references", "corpus", "chunks", "evaluation", "retrieval", "pages", "selection", "diagnostics", "pipelines"):
         importlib.import_module(f"tessitura.plans.{module}")

@@ -6,6 +6,10 @@ CHUNK_REQUIRED = (
     "chunk_id", "document_id", "metodo_extracao", "extrator", "chunk_strategy", "chunk_level", "chunk_index", "texto",
     "citation_label", "tipo", "titulo", "fonte", "formato_original", "url_original",
 )
+METADATA_COLUMNS = (
+    "chunk_id", "document_id", "parent_chunk_id", "chunk_strategy", "chunk_level", "chunk_index", "metodo_extracao", "extrator", "texto", "secao", "artigo", "paragrafo", "inciso", "alinea",
+    "citation_label", "tipo", "subtipo", "numero", "ano", "titulo", "assunto", "situacao", "fonte", "formato_original", "url_original", "url_consolidado", "qualidade_extracao",
+)
 METHODS = ("texto", "markdown")
 STRATEGIES = ("fixed-size", "article-aware", "hierarchical", "hierarchical-child")
 IN_FORCE = ("vigente", "consolidada")
