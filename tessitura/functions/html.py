@@ -12,6 +12,8 @@ from tessitura.functions.keys import strip
 
 # Elements whose content is no text.
 DROPPED = ("script", "style", "nav", "header", "footer")
+# The entities that most pages have only.
+COMMON = (("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # Named entities of one character, from the standard library's table.
 _NAMED = {name.rstrip(";"): char for name, char in entities.html5.items() if len(char) == 1 and name != "amp;" and name != "amp"}
 FORMATS = ((r"(?i)\.pdf$", "pdf"), (r"(?i)\.docx?$", "docx"), (r"(?i)\.xlsx?$", "xlsx"), (r"(?i)\.html?$", "html"))
@@ -19,7 +21,16 @@ MIN_PARAGRAPH, GOOD_TEXT = 10, 1000
 
 
 def unescape(text: Column) -> Column:
-    """Named and numbered entities as their characters; unknown ones stay."""
+    """Named and numbered entities as their characters; unknown ones stay.
+    Texts with common ones only take a shorter way to the same."""
+    plain = text
+    for entity, char in COMMON:
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    others = r"&(?!(?:nbsp|lt|gt|quot|#39|amp);)(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+    return F.when(text.rlike(others), _unescape_all(text)).otherwise(plain)
+
+
+def _unescape_all(text: Column) -> Column:
     names = F.from_json(F.lit(json.dumps(_NAMED, ensure_ascii=False)), "map<string,string>")
     # What lies between entities alternates with the entities themselves.
     entity = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"

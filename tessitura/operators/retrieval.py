@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,14 +118,35 @@ def exact_top_k(queries: DataFrame, items: DataFrame, k: int, decimals: int = 9)
     return found if "part" in items.columns else found.drop("part")
 
 
+class _Dimensions(dict):
+    """Dimension of a token, by the first half word of its digest."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        d = self[token] = int.from_bytes(hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()[:4], "big") % self.dims
+        return d
+
+
 def hash_vector(text: Column, dims: int = 64) -> Column:
     """Hash embedding of length one: a token adds 1 to the dimension of its
-    hash; null where there are no tokens. Made in the row, without a shuffle."""
-    dim = lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % dims).cast("int")
-    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(held, lambda x: x == d)).cast("double"))
-    # Bound by lambdas, so that each step is computed once.
-    made = F.transform(F.array(F.transform(T.words(F.lower(text)), dim)), counts)
-    return F.filter(F.transform(made, unit), lambda v: F.exists(v, lambda x: x > 0))[0]
+    hash; null where there are no tokens.  Made in Arrow batches: counting
+    dimensions with array functions takes text length x ``dims`` steps a row."""
+    known = _Dimensions(dims)
+
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            held = t.split() if t else ()
+            v = np.bincount(np.fromiter(map(known.__getitem__, held), np.int64, len(held)), minlength=dims).astype(np.float64) if held else None
+            out.append(None if v is None else v / np.sqrt((v * v).sum()))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")(F.lower(text))
 
 
 def hash_embedding(df: DataFrame, key: str, text_col: str, dims: int = 64) -> DataFrame:

@@ -52,7 +52,13 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("registro", "url", "title", H.file_format(F.col("url")).alias("format"))
 
 
-@register()
+_EMPTY = r"'(?i)\**==>\s*(?:picture|figura)[^<]*<==\**'"
+
+
+# The answer without parsing: the page's title, lines and links with their marks.
+@register("WITH " + _PAGE + rf""", md AS (SELECT registro, regexp_replace(regexp_replace('# ' || titulo || chr(10) || chr(10) || array_to_string(list_transform(string_split(texto, chr(10)), lambda x: chr(10) || chr(10) || x || chr(10) || chr(10)), '')
+  || 'Original **' || formato_original || '**de novo', chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), {_EDGE}, '', 'g') AS markdown FROM pages JOIN corpus USING (registro))
+SELECT registro, markdown, len(regexp_extract_all(regexp_replace(regexp_replace(markdown, {_EMPTY}, ' ', 'g'), '[*_`#~>|\-]+', ' ', 'g'), '[A-Za-zÀ-ÿ0-9]{{3,}}')) >= 10 AS useful FROM md""")
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     md = H.html_markdown(F.col("html"))
     return _pages(spark, sf_dir).select("registro", md.alias("markdown"), T.useful_markdown(md).alias("useful"))

@@ -11,6 +11,7 @@ from tessitura.operators import evaluation as E
 from tessitura.operators import matching as M
 from tessitura.operators import retrieval as R
 from tessitura.operators.ingest import latest_of_few
+from tessitura.plans.evaluation import _TOKENS
 from tessitura.plans.registry import register
 from tessitura.session import materialize, table
 
@@ -175,7 +176,24 @@ def document_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.group_coverage(queries, sources, hits, "doc_recall").select("query", F.round("doc_recall", 6).alias("doc_recall"))
 
 
-@register()
+_SIGNATURE = """concat_ws('.', 'art' || nullif(lower(regexp_extract(coalesce(artigo, ''), '(\\d+)', 1)), ''), 'par' || nullif(lower(regexp_extract(coalesce(paragrafo, ''), '(\\d+)', 1)), ''),
+  'inc' || nullif(lower(regexp_extract(coalesce(inciso, ''), '(?i)([ivxlcdm]+)', 1)), ''), 'ali' || nullif(lower(regexp_extract(coalesce(alinea, ''), '(?i)([a-z])', 1)), ''))"""
+_LABEL = """concat_ws('.', 'art' || nullif(lower(regexp_extract(s.section_label, '(?i)art\\.?\\s*([0-9]+(?:[.\\-][0-9]+)?)', 1)), ''), 'par' || nullif(lower(regexp_extract(s.section_label, '(?i)(?:§|paragrafo|paragraph)\\s*([0-9]+)', 1)), ''),
+  'inc' || nullif(lower(regexp_extract(s.section_label, '(?i)inciso\\s+([ivxlcdm0-9]+)', 1)), ''), 'ali' || nullif(lower(regexp_extract(s.section_label, '(?i)al[ií]nea\\s+([a-z])', 1)), ''))"""
+
+
+@register(_SEARCH + f""", src AS (SELECT question_id, s.document_id AS document_id, {_LABEL} AS sig, {_TOKENS('s.support_excerpt')} AS n, greatest(1, least(3, coalesce(nullif(s.relevance, 0), 1))) AS grade, coalesce(nullif(trim(s.grupo), ''), 'solo:' || pos) AS grp
+  FROM (SELECT question_id, unnest(range(len(relevant_sources))) AS pos, unnest(relevant_sources) AS s FROM gt_questions)),
+ret AS (SELECT found.query, q.question_id, rank, document_id, {_SIGNATURE} AS sig, {_TOKENS('texto')} AS h FROM found JOIN chunks USING (chunk_id) JOIN q USING (query)),
+judged AS (SELECT ret.query, rank, grp, grade, coalesce((src.sig <> '' AND ret.sig <> '' AND (src.sig = ret.sig OR starts_with(src.sig, ret.sig || '.') OR starts_with(ret.sig, src.sig || '.')))
+  OR (len(n) > 0 AND len(list_filter(n, lambda x: list_contains(h, x))) / len(n) >= 0.6), FALSE) AS hit FROM ret JOIN src ON src.question_id = ret.question_id AND src.document_id = ret.document_id),
+best AS (SELECT found.query, found.rank, coalesce(max(CASE WHEN hit THEN grade END), 0) AS g FROM found LEFT JOIN judged ON judged.query = found.query AND judged.rank = found.rank GROUP BY ALL),
+ideal AS (SELECT query, g, row_number() OVER (PARTITION BY query ORDER BY g DESC) AS i FROM best),
+sc AS (SELECT query, avg(CAST(g > 0 AS INT)) AS precision, coalesce(1.0 / min(rank) FILTER (WHERE g > 0), 0) AS mrr, sum(g / log2(rank + 1)) AS dcg FROM best GROUP BY query),
+idc AS (SELECT query, sum(g / log2(i + 1)) AS dcg FROM ideal GROUP BY query),
+rec AS (SELECT q.query, coalesce(avg(CASE WHEN g.grp IS NOT NULL THEN CAST(h.grp IS NOT NULL AS INT) END), 0) AS recall FROM q LEFT JOIN (SELECT DISTINCT question_id, grp FROM src) g USING (question_id)
+  LEFT JOIN (SELECT DISTINCT query, grp FROM judged WHERE hit) h ON h.query = q.query AND h.grp = g.grp GROUP BY q.query)
+SELECT query, rec.recall, coalesce(round(precision, 6), 0) AS precision, coalesce(round(mrr, 6), 0) AS mrr, coalesce(round(CASE WHEN idc.dcg > 0 THEN sc.dcg / idc.dcg ELSE 0 END, 6), 0) AS ndcg FROM rec LEFT JOIN sc USING (query) LEFT JOIN idc USING (query)""")
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query: share of source groups met, precision, reciprocal rank and nDCG of the graded chunks."""
     queries, chunks, found = _search(spark, sf_dir)

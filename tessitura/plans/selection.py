@@ -9,6 +9,7 @@ from tessitura.functions import html as H
 from tessitura.functions import text as T
 from tessitura.functions.keys import loose_id
 from tessitura.operators import ingest
+from tessitura.operators.retrieval import of_named_module
 from tessitura.plans.registry import register
 from tessitura.schemas import IN_FORCE, METADATA_COLUMNS
 from tessitura.session import table
@@ -128,3 +129,53 @@ def config_product(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = made.withColumn(d, F.explode(d))
     known = c.groupBy(*dims).agg(F.min("label").alias("label"))
     return made.join(known, list(dims), "left").select(*dims, F.col("label").isNotNull().alias("configured"))
+
+
+@register("SELECT registro, id, qualidade_extracao FROM corpus WHERE qualidade_extracao < 0.9 AND NOT isnan(qualidade_extracao) ORDER BY qualidade_extracao, registro LIMIT 15")
+def low_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = table(spark, sf_dir, "corpus").where("qualidade_extracao < 0.9 and not isnan(qualidade_extracao)").select("registro", "id", "qualidade_extracao")
+    return first_n(low, 15, "qualidade_extracao", "registro")
+
+
+@register("""SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= TIMESTAMP '1998-01-01') GROUP BY ALL""")
+def customers_without_late_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    gone = table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return gone.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@register(r"""SELECT question_id, regexp_extract(question, '(?i)subm[óo]dulo\s+(\d+)\.(\d+)([a-z]?)', 1) || '-' || regexp_extract(question, '(?i)subm[óo]dulo\s+(\d+)\.(\d+)([a-z]?)', 2)
+  || lower(regexp_extract(question, '(?i)subm[óo]dulo\s+(\d+)\.(\d+)([a-z]?)', 3)) AS module FROM gt_questions WHERE regexp_matches(question, '(?i)subm[óo]dulo\s+\d+\.\d+')""")
+def question_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submodule that a question names."""
+    return table(spark, sf_dir, "gt_questions").select("question_id", T.query_module(F.col("question")).alias("module")).where("module is not null")
+
+
+@register(r"""WITH d AS (SELECT DISTINCT lower(trim(id)) AS id FROM corpus WHERE id IS NOT NULL), m AS (SELECT DISTINCT regexp_extract(id, 'subm(\d+-\d+[a-z]?)-', 1) AS module FROM d WHERE regexp_matches(id, 'subm\d+-\d+[a-z]?-'))
+SELECT module, count(*) AS documents FROM m JOIN d ON regexp_matches(id, '(subm|rede-)' || module || '([^0-9a-z]|$)') GROUP BY module""")
+def module_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each submodule, by the boundary rule: 1-2 isn't 1-24."""
+    documents = table(spark, sf_dir, "corpus").select(loose_id(F.col("id")).alias("document_id")).where("document_id is not null").distinct()
+    modules = documents.select(T.module_key(F.col("document_id")).alias("module")).where("module is not null").distinct()
+    asked = modules.select(F.col("module").alias("query"), F.concat(F.lit("submódulo "), F.replace("module", F.lit("-"), F.lit("."))).alias("question"))
+    met = of_named_module(asked, documents.withColumn("chunk_id", F.col("document_id")))
+    return met.groupBy(F.col("query").alias("module")).agg(F.count("*").alias("documents"))
+
+
+@register("""SELECT rule, coalesce(n, 0) AS n FROM (VALUES ('child without parent id'), ('parent missing'), ('parent of another strategy'), ('parent known')) v(rule) LEFT JOIN (
+  SELECT CASE WHEN c.chunk_strategy = 'hierarchical-child' AND coalesce(trim(c.parent_chunk_id), '') = '' THEN 'child without parent id'
+    WHEN coalesce(trim(c.parent_chunk_id), '') <> '' AND p.chunk_id IS NULL THEN 'parent missing'
+    WHEN c.chunk_strategy = 'hierarchical-child' AND p.chunk_strategy <> 'hierarchical' THEN 'parent of another strategy' WHEN p.chunk_id IS NOT NULL THEN 'parent known' END AS rule, count(*) AS n
+  FROM (SELECT DISTINCT chunk_id, parent_chunk_id, chunk_strategy FROM metadata) c
+  LEFT JOIN (SELECT chunk_id, min(chunk_strategy) AS chunk_strategy FROM metadata GROUP BY chunk_id) p ON p.chunk_id = c.parent_chunk_id GROUP BY 1) USING (rule)""")
+def hierarchy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks meet or break each rule of the hierarchy."""
+    chunks = table(spark, sf_dir, "metadata").select("chunk_id", "parent_chunk_id", "chunk_strategy").distinct()
+    parents = chunks.groupBy(F.col("chunk_id").alias("parent")).agg(F.min("chunk_strategy").alias("parent_strategy"))
+    named, child = F.coalesce(F.trim("parent_chunk_id"), F.lit("")) != "", F.col("chunk_strategy") == "hierarchical-child"
+    rules = {
+        "child without parent id": child & ~named, "parent missing": named & F.col("parent").isNull(),
+        "parent of another strategy": child & (F.col("parent_strategy") != "hierarchical"), "parent known": F.col("parent").isNotNull() & ~(child & (F.col("parent_strategy") != "hierarchical")),
+    }
+    one = chunks.join(parents, F.col("parent_chunk_id") == F.col("parent"), "left").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in rules.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").alias("n")) for r in rules))).alias("x")).select("x.*")

@@ -44,7 +44,9 @@ def test_equals_sql(spark, data, con, name):
 
 def test_others_run(spark, data):
     for name in sorted(set(registry.queries()) - set(SQL)):
-        assert registry.queries()[name](spark, data).columns
+        df = registry.queries()[name](spark, data)
+        # The smallest tables may have no error, and no query whose id is divisible by 100.
+        assert df.columns and df.count() >= (0 if name in ("ground_truth_gate", "retrieval_scores") else 1), name
 
 
 def test_rest_works_without_the_optional_subpackage():
@@ -53,7 +55,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("tessitura.llm"):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.llm is None and "p4_found" in e.queries() and set(e.oracle_sql()) <= set(e.queries())

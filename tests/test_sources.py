@@ -1,3 +1,4 @@
+from pathlib import Path
 import io
 import zipfile
 
@@ -130,3 +131,14 @@ def test_streaming(spark, data, tmp_path):
     counts = incremental.window_counts(spark.readStream.schema(events.schema).parquet(ein))
     counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start().awaitTermination()
     assert spark.sql("select sum(n) from counts").first()[0] == events.where("ts is not null").count()
+
+
+def test_clean(spark):
+    from tessitura.session import clean, materialize
+
+    df = materialize(spark.range(3), "some")
+    path = df.inputFiles()[0].removeprefix("file://")
+    other = spark.newSession()
+    assert Path(path).exists() and spark.sparkContext.applicationId in path
+    clean(other)
+    assert not Path(path).exists()
