@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Folder of the public vocabularies; a parameter of every function below.
@@ -110,6 +111,13 @@ def _vocabulary(name: str, tokenizer_dir: str) -> str:
     return f"{tokenizer_dir.rstrip('/')}/{name}.tiktoken"
 
 
+def _shipped(df: DataFrame, vocabulary: str, tokenizer_dir: str) -> str:
+    """Name of the vocabulary's file, which Spark brings to every executor."""
+    path = _vocabulary(vocabulary, tokenizer_dir)
+    df.sparkSession.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
+
+
 def encode_texts(
     df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR
 ) -> DataFrame:
@@ -120,11 +128,11 @@ def encode_texts(
     a null id stays null; an empty table gives no rows.  Other columns are not
     read, whatever their names.
     """
-    path = _vocabulary(vocabulary, tokenizer_dir)
+    name = _shipped(df, vocabulary, tokenizer_dir)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split = _encoder(path)
+        words, split = _encoder(SparkFiles.get(name))
         get = words.__getitem__
         for batch in batches:
             sizes = np.zeros(batch.num_rows + 1, np.int64)
@@ -150,11 +158,11 @@ def count_tokens(
     df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR
 ) -> DataFrame:
     """``id_col`` and ``n_tokens int`` of each row; null and empty texts have 0."""
-    path = _vocabulary(vocabulary, tokenizer_dir)
+    name = _shipped(df, vocabulary, tokenizer_dir)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, split = _encoder(path)
+        words, split = _encoder(SparkFiles.get(name))
         get = words.__getitem__
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int32)

@@ -99,8 +99,27 @@ SELECT fonte AS source, CAST(len(block) AS INT) AS n_lines, docs, places, n AS s
 WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.fonte = blocks.fonte AND held.part = blocks.block AND held.places = blocks.places)"""
 
 
+_GROUPS = r"""
+WITH RECURSIVE words AS (SELECT DISTINCT id, regexp_extract_all(lower(texto), '[\p{L}\p{N}]+') AS w FROM corpus WHERE id IS NOT NULL AND texto IS NOT NULL),
+cls AS (SELECT w, row_number() OVER (ORDER BY w) AS t FROM (SELECT DISTINCT w FROM words WHERE len(w) >= 3)),
+mem AS (SELECT DISTINCT id, t FROM words JOIN cls USING (w)),
+runs AS (SELECT DISTINCT t, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT t, w, unnest(range(1, len(w) - 1)) AS i FROM cls)),
+sizes AS (SELECT t, count(*) AS n FROM runs GROUP BY t),
+shared AS (SELECT x.t AS a, y.t AS b, count(*) AS n FROM runs x JOIN runs y ON x.run = y.run AND x.t < y.t GROUP BY ALL),
+owners AS (SELECT t, min(id) AS low, max(id) AS high FROM mem GROUP BY t),
+links AS (SELECT a, b FROM shared JOIN sizes sa ON sa.t = a JOIN sizes sb ON sb.t = b JOIN owners p ON p.t = a JOIN owners q ON q.t = b
+  WHERE shared.n >= 0.5 * (sa.n + sb.n - shared.n) AND NOT (p.low = p.high AND q.low = q.high AND p.low = q.low)),
+degree AS (SELECT t, count(*) AS n FROM (SELECT a AS t FROM links UNION ALL SELECT b FROM links) GROUP BY t),
+edges AS (SELECT DISTINCT p.id AS x, q.id AS y FROM links JOIN mem p ON p.t = a JOIN mem q ON q.t = b UNION SELECT p.id, q.id FROM mem p JOIN mem q ON p.t = q.t),
+twoway AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach AS (SELECT DISTINCT id, id AS other FROM words UNION SELECT reach.id, twoway.y FROM reach JOIN twoway ON twoway.x = reach.other)
+SELECT r.id, r.group_id, CAST(coalesce(l.n, 0) AS BIGINT) AS links FROM (SELECT id, min(other) AS group_id FROM reach GROUP BY id) r
+LEFT JOIN (SELECT id, sum(n) AS n FROM mem JOIN degree USING (t) GROUP BY id) l ON l.id = r.id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_groups": _GROUPS,
         # Blocks of up to 16 lines; these tables have none longer.
         "p2_blocks": _LINES + _BLOCKS,
         "p3_found": r"""
