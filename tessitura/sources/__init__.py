@@ -1 +1 @@
-"""Reading: partitioned tables, JSON lines, office files, vector store bundles."""
+"""Reading: partitioned tables, JSON lines, binary files, vector store bundles."""

@@ -1,12 +1,10 @@
-import io
-import zipfile
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessitura.sources import office
+from tessitura.sources import extraction
 from tessitura.sources import tables as S
 from tessitura.streaming import incremental
 
@@ -82,39 +80,22 @@ def test_store_gate(spark, tmp_path):
         S.write_store(frame(row("a"), row("a")), str(tmp_path / "s"), allowed=())
 
 
-def docx(*paragraphs):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{s}\"/></w:pPr>" if s else ""}<w:r><w:t>{t}</w:t></w:r></w:p>' for s, t in paragraphs)
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
-    return out.getvalue()
-
-
-def xlsx():
-    m = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {m}><sheets><sheet name="Tarifas"/></sheets></workbook>')
-        z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>grupo</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {m}><sheetData><row><c t="s"><v>0</v></c><c><v>12</v></c></row><row><c t="inlineStr"><is><t>b</t></is></c></row></sheetData></worksheet>')
-    return out.getvalue()
-
-
-def test_office_files(spark, tmp_path):
-    (tmp_path / "a.docx").write_bytes(docx(("Heading1", "Título"), (None, " "), (None, "Corpo")))
-    (tmp_path / "b.xlsx").write_bytes(xlsx())
+def test_extraction(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"corpo")
     (tmp_path / "c.html").write_bytes("<p>Um parágrafo é isto.</p>".encode("latin-1"))
     (tmp_path / "d.docx").write_bytes(b"damaged")
     (tmp_path / "e.xyz").write_bytes(b"x")
+
+    def parse(content):
+        return {b"corpo": "Corpo"}[content]  # a parser's own KeyError is no unknown format
+
     files = spark.read.format("binaryFile").load(str(tmp_path))
-    text = {r.path[-6:]: (r.texto, r.erro) for r in office.extract(files, "texto").collect()}
-    assert text["a.docx"] == ("Título\n\nCorpo", None) and text["b.xlsx"] == ("grupo\n12\nb", None) and text["c.html"] == ("Um parágrafo é isto.", None)
-    assert text["d.docx"] == (None, "BadZipFile") and text["/e.xyz"] == (None, "unknown format")
-    md = {r.path[-6:]: r.texto for r in office.extract(files, "markdown").collect()}
-    assert md["a.docx"] == "# Título\n\nCorpo" and md["b.xlsx"].startswith("## Tarifas\n\n| grupo | 12 |\n| --- | --- |")
+    text = {r.path[-6:]: (r.texto, r.erro) for r in extraction.extract(files, "texto", {("docx", "texto"): parse}).collect()}
+    assert text["a.docx"] == ("Corpo", None) and text["c.html"] == ("Um parágrafo é isto.", None)
+    assert text["d.docx"] == (None, "KeyError") and text["/e.xyz"] == (None, "unknown format")
+    assert {r.erro for r in extraction.extract(files, "markdown").where("formato = 'docx'").collect()} == {"unknown format"}
     with pytest.raises(ValueError):
-        office.extract(files, "pdf")
+        extraction.extract(files, "pdf")
 
 
 def test_streaming(spark, data, tmp_path):
