@@ -10,9 +10,11 @@ from tessitura.functions import text as T
 from tessitura.functions.keys import loose_id
 from tessitura.functions.times import month_of
 from tessitura.operators.evaluation import status_accuracy
-from tessitura.plans.chunks import _PLACE, _followed, _placed
+from tessitura.operators.retrieval import exact_top_k
+from tessitura.plans.chunks import _followed, _placed
 from tessitura.plans.evaluation import _PAIRED, _TOKENS, _paired
 from tessitura.plans.registry import register
+from tessitura.plans.retrieval import _LABEL, _SIGNATURE
 from tessitura.schemas import METHODS, MIN_TEXT
 from tessitura.session import materialize, table
 from tessitura.sources.tables import store_violations
@@ -254,3 +256,47 @@ def citation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.trim("ground_truth.citation_label") != "", F.col("ground_truth.citation_label"))
     cited = F.array_compact(F.coalesce("system_output.citations", F.array().cast("array<string>")))
     return rows.select("sample_id", F.round(status_accuracy(cited, label), 6).alias("share"))
+
+
+@register(f"""WITH a AS (SELECT question_id, unnest(list_sort(list_distinct({_TOKENS('question')}), 'DESC')[1:2]) AS anchor FROM gt_questions WHERE question IS NOT NULL),
+n AS (SELECT question_id, count(*) AS n FROM a GROUP BY 1), t AS (SELECT DISTINCT chunk_id, unnest({_TOKENS('texto')}) AS anchor FROM metadata WHERE texto IS NOT NULL AND chunk_id IS NOT NULL)
+SELECT question_id, count(*) AS chunks FROM (SELECT a.question_id, chunk_id FROM a JOIN t USING (anchor) JOIN n ON n.question_id = a.question_id GROUP BY a.question_id, chunk_id, n.n HAVING count(*) = n.n) GROUP BY 1""")
+def chunks_with_all_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold every anchor of a question (its last two informative
+    words by the alphabet): the sets of chunks per anchor meet in an inverted
+    join, none is gathered."""
+    words = F.slice(F.sort_array(F.array_distinct(T.informative(F.col("question"))), asc=False), 1, 2)
+    asked = table(spark, sf_dir, "gt_questions").where("question is not null").select("question_id", words.alias("anchors"))
+    asked = asked.select("question_id", F.size("anchors").alias("n"), F.explode("anchors").alias("anchor"))
+    held = table(spark, sf_dir, "metadata").where("texto is not null and chunk_id is not null").select("chunk_id", F.explode(F.array_distinct(T.informative(F.col("texto")))).alias("anchor")).distinct()
+    met = asked.join(held, "anchor").groupBy("question_id", "chunk_id", "n").agg(F.count("*").alias("m")).where("m = n")
+    return met.groupBy("question_id").agg(F.count("*").alias("chunks"))
+
+
+@register(f"""WITH ex AS (SELECT DISTINCT question_id, {_LOOSE.format('s.document_id')} AS document_id, {_LABEL} AS sig, s.support_excerpt AS excerpt FROM (SELECT question_id, unnest(relevant_sources) AS s FROM gt_questions)
+  WHERE s.document_id IS NOT NULL AND trim(s.support_excerpt) <> ''),
+ch AS (SELECT DISTINCT chunk_id, {_LOOSE.format('document_id')} AS document_id, {_SIGNATURE} AS csig, {_TOKENS('texto')} AS h FROM metadata WHERE texto IS NOT NULL AND chunk_id IS NOT NULL),
+cov AS (SELECT question_id, excerpt, sig, csig, chunk_id, {_TOKENS('excerpt')} AS n, h FROM ex JOIN ch ON ch.document_id = ex.document_id)
+SELECT question_id, count(*) AS pairs, count(DISTINCT chunk_id) AS chunks FROM cov WHERE len(n) > 0 AND len(list_filter(n, lambda x: list_contains(h, x))) / len(n) >= 0.3 AND len(list_filter(n, lambda x: list_contains(h, x))) / len(n) < 0.6
+  AND NOT (sig <> '' AND csig <> '' AND (sig = csig OR starts_with(sig, csig || '.') OR starts_with(csig, sig || '.'))) GROUP BY question_id""")
+def marginal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts and chunks of their document that share 0.30 to 0.60 of the words and no section."""
+    s = table(spark, sf_dir, "gt_questions").select("question_id", F.explode("relevant_sources").alias("s")).where("s.document_id is not null and trim(s.support_excerpt) <> ''")
+    ex = s.select("question_id", loose_id(F.col("s.document_id")).alias("document_id"), T.label_signature(F.col("s.section_label")).alias("sig"), F.col("s.support_excerpt").alias("excerpt")).distinct()
+    ex = ex.select("question_id", "document_id", "sig", T.informative(F.col("excerpt")).alias("n"))
+    rows = table(spark, sf_dir, "metadata").where("texto is not null and chunk_id is not null")
+    signature = T.chunk_signature(*(F.col(c) for c in ("artigo", "paragrafo", "inciso", "alinea"))).alias("csig")
+    ch = rows.select("chunk_id", loose_id(F.col("document_id")).alias("document_id"), signature, T.informative(F.col("texto")).alias("h")).distinct()
+    share = T.coverage(F.col("n"), F.col("h"), 0.0)
+    met = ex.join(ch, "document_id").withColumn("c", share).where((F.col("c") >= 0.3) & (F.col("c") < 0.6) & ~T.signatures_match(F.col("csig"), F.col("sig")))
+    return met.groupBy("question_id").agg(F.count("*").alias("pairs"), F.countDistinct("chunk_id").alias("chunks"))
+
+
+@register("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL)
+SELECT q.label, max(round(list_cosine_similarity(q.e, i.e), 9)) AS nearest FROM v q JOIN v i ON i.label = q.label AND i.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0 GROUP BY q.label""")
+def label_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per label the largest cosine of a query (ids divisible by 100) and another vector of its label."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").select(F.col("vec_id").cast("long").alias("item"), F.col("label").cast("string").alias("part"), F.col("embedding").alias("vector"), "label")
+    near = exact_top_k(e.where("item % 100 = 0").withColumnRenamed("item", "query"), e, 1)
+    names = e.select("part", "label").distinct()
+    return near.groupBy("part").agg(F.max("score").alias("nearest")).join(names, "part").select("label", "nearest")
