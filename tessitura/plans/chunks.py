@@ -132,7 +132,7 @@ def chunk_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("w") < 10).alias("tiny"), F.count_if(F.col("w") < 30).alias("small"), F.round(F.count_if(F.col("w") < 30) / F.count("*"), 4).alias("small_share"), F.count_if(F.col("w") > 6000).alias("huge"))
 
 
-_NOISE = "CASE " + " ".join(f"WHEN regexp_matches(t, '{pattern}') THEN '{label}'" for label, pattern in T.NOISE) + " ELSE 'outro' END"
+_NOISE = "CASE " + " ".join("WHEN " + " AND ".join(f"regexp_matches(t, '{p}')" for p in patterns) + f" THEN '{label}'" for label, patterns in T.NOISE) + " ELSE 'outro' END"
 
 
 @register(f"""SELECT {_NOISE} AS noise, count(*) AS n, CAST(min(len(string_split(t, ' '))) AS INT) AS least_words FROM (

@@ -12,6 +12,7 @@ from tessitura.operators import pipeline as P
 from tessitura.operators.evaluation import set_recall
 from tessitura.plans.corpus import _PARSED
 from tessitura.plans.registry import register
+from tessitura.plans.retrieval import _MATRIX as _PIPELINE
 from tessitura.plans.retrieval import _SEARCH, _chunks, _queries, _search
 from tessitura.schemas import DOCUMENT_REQUIRED
 from tessitura.session import materialize, table
@@ -55,7 +56,7 @@ def _full(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
             ("parents", "hierarchical-child", "texto", "hierarchical", None, False, True, False, False, False)]
     configs = spark.createDataFrame(rows, "label string, chunk_strategy string, metodo_extracao string, mode string, candidates_k_override int, rerank boolean, exclude_revogadas boolean, "
         "exclude_superseded_versions boolean, restrict_to_query_submodulo boolean, boost_identificador boolean")
-    queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir)
+    queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir, _PIPELINE)
     return queries, chunks, P.run_configs(queries, chunks, configs)
 
 
@@ -69,7 +70,7 @@ def retrieve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_MATRIX.replace("{configs}", "SELECT * FROM store_configs") + _WANTED + """SELECT label, count(*) AS queries, round(avg(doc_recall), 6) AS doc_recall, round(avg(mrr), 6) AS mrr, count(first_rank) AS met FROM per_query GROUP BY label""")
 def matrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored configuration run over the query set, with its document metrics."""
-    queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir)
+    queries, chunks = _queries(spark, sf_dir), _chunks(spark, sf_dir, _PIPELINE)
     runs = materialize(P.run_configs(queries, chunks, table(spark, sf_dir, "store_configs")), "runs")
     each = P.document_metrics(runs, queries, M.expected_sources(table(spark, sf_dir, "gt_questions")))
     return each.groupBy("label").agg(F.count("*").alias("queries"), F.round(F.avg("doc_recall"), 6).alias("doc_recall"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count("first_rank").alias("met"))

@@ -112,14 +112,18 @@ def module_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(d, "module").where(T.matches_module(F.col("document_id"), F.col("module"))).select("question_id", "module", "document_id").distinct()
 
 
-_CHUNK = ("chunk_id", "document_id", "chunk_strategy", "metodo_extracao", "parent_chunk_id", "situacao", "texto", "artigo", "paragrafo", "inciso", "alinea")
+_CHUNK = ("chunk_id", "document_id", "situacao")
+_MATRIX = ("chunk_strategy", "metodo_extracao", "parent_chunk_id", "texto")
+_STRUCTURE = ("texto", "artigo", "paragrafo", "inciso", "alinea")
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk with a text once, with its hash embedding; written, as searches read it several times."""
-    rows = table(spark, sf_dir, "metadata").where("texto is not null and chunk_strategy is not null").select(*_CHUNK, "indexed_at")
-    first = latest_of_few(rows, "chunk_id", F.asc("indexed_at"), F.asc("texto")).drop("indexed_at")
-    return materialize(first.withColumn("document_id", loose_id(F.col("document_id"))).withColumn("vector", R.hash_vector(F.col("texto"))), "chunks")
+def _chunks(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = (), condition: str = "chunk_strategy is not null") -> DataFrame:
+    """Every chunk with a text once, with its hash embedding and the wanted
+    columns; written, as searches read it several times."""
+    rows = table(spark, sf_dir, "metadata").where("texto is not null").where(condition).select(*dict.fromkeys((*_CHUNK, *columns, "texto", "indexed_at")))
+    first = latest_of_few(rows, "chunk_id", F.asc("indexed_at"), F.asc("texto"))
+    made = first.withColumn("document_id", loose_id(F.col("document_id"))).withColumn("vector", R.hash_vector(F.col("texto")))
+    return materialize(made.select(*_CHUNK, *columns, "vector"), "chunks")
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +138,10 @@ def _allowed(pool: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
     return pool.join(chunks.select("chunk_id", "document_id", "situacao", *columns), "chunk_id").where(R.passes_status(F.col("situacao"))).join(gone, "document_id", "left_anti")
 
 
-def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _search(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Queries, chunks, and each query's ten best chunks in force by hash embedding."""
     queries = _queries(spark, sf_dir)
-    chunks = _chunks(spark, sf_dir).where("chunk_strategy <> 'hierarchical-child'")
+    chunks = _chunks(spark, sf_dir, columns, "chunk_strategy <> 'hierarchical-child'")
     pool = R.exact_top_k(queries, chunks.select(F.col("chunk_id").alias("item"), "vector"), R.pool_size(10, widened=True)).withColumnRenamed("item", "chunk_id").drop("rank")
     return queries.drop("vector"), chunks, R.best_first(_allowed(pool, chunks).select("query", "chunk_id", "score"), 10)
 
@@ -196,7 +200,7 @@ rec AS (SELECT q.query, coalesce(avg(CASE WHEN g.grp IS NOT NULL THEN CAST(h.grp
 SELECT query, rec.recall, coalesce(round(precision, 6), 0) AS precision, coalesce(round(mrr, 6), 0) AS mrr, coalesce(round(CASE WHEN idc.dcg > 0 THEN sc.dcg / idc.dcg ELSE 0 END, 6), 0) AS ndcg FROM rec LEFT JOIN sc USING (query) LEFT JOIN idc USING (query)""")
 def retrieval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per query: share of source groups met, precision, reciprocal rank and nDCG of the graded chunks."""
-    queries, chunks, found = _search(spark, sf_dir)
+    queries, chunks, found = _search(spark, sf_dir, _STRUCTURE)
     found = materialize(found, "found")
     sources = M.expected_sources(table(spark, sf_dir, "gt_questions"))
     signature = T.chunk_signature(*(F.col(c) for c in ("artigo", "paragrafo", "inciso", "alinea"))).alias("signature")
