@@ -236,7 +236,7 @@ def _summed(counted: DataFrame) -> dict[str, np.ndarray]:
     tables: dict[str, np.ndarray] = {}
     for b in some.groupBy("kind", "number").applyInArrow(_add_last, kinds).toLocalIterator():
         values = np.frombuffer(bytes(b["counts"]), np.float32)
-        table = tables.setdefault(b["kind"], np.zeros(2 if b["kind"] == "totals" else CELLS))
+        table = tables.setdefault(b["kind"], np.zeros(2 if b["kind"] == "totals" else CELLS, np.float32))
         table[b["number"] : b["number"] + len(values)] = values
     return tables
 
@@ -344,21 +344,21 @@ def fit_endings(df: DataFrame, item_col: str, text_col: str, lang_col: str, grou
     kind = texts.schema["item"].dataType.simpleString()
     schema = f"item {kind}, lang string, grp string, hash bigint, chars bigint, bytes bigint, cells array<int>, planted array<int>"
     features = materialize(texts.mapInArrow(_features, schema), "endings")
-    own = _summed(features.groupBy("hash").agg(F.first("cells").alias("cells")).select("cells").mapInArrow(_count_own, _COUNTED)).get("own", np.zeros(CELLS))
-    places, ends, total = (tables.get(k, np.zeros(n)) for k, n in (("places", CELLS), ("ends", CELLS), ("totals", 2)))
-    n = max(1.0, own[: 1 << _BITS[0]].sum())
+    own = _summed(features.groupBy("hash").agg(F.first("cells").alias("cells")).select("cells").mapInArrow(_count_own, _COUNTED)).get("own", np.zeros(CELLS, np.float32))
+    places, ends, total = (tables.get(k, np.zeros(n, np.float32)) for k, n in (("places", CELLS), ("ends", CELLS), ("totals", 2)))
+    total, n = total.astype(np.float64), max(1.0, own[: 1 << _BITS[0]].sum(dtype=np.float64))
 
     # Half of all places lie in contexts of two characters at which lines hardly
     # ever end: a text that stops there was cut.
     low, high = int(_OFFSETS[4]), int(_OFFSETS[5])
     order = np.argsort(ends[low:high] / (places[low:high] + 1), kind="stable")
     order = order[places[low:high][order] > 0]
-    mass = np.cumsum(places[low:high][order])
+    mass = np.cumsum(places[low:high][order], dtype=np.float64)
     inside = order[: int(np.searchsorted(mass, 0.5 * mass[-1])) + 1] if len(order) else order
     part = places[low:high][inside].sum() / max(1, places[low:high].sum())
     usual = float(np.clip(own[low:high][inside].sum() / n / max(part, 1e-9), 0.005, 0.6))
-    ends = ends + own
-    model = EndModel(ends.astype(np.float32), places.astype(np.float32), (total[1] + n) / max(1.0, total[0]), usual * n / (total[1] + n), usual)
+    ends += own
+    model = EndModel(ends, places, (total[1] + n) / max(1.0, total[0]), usual * n / (total[1] + n), usual)
     return model, features
 
 
