@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import text as T
@@ -216,7 +216,11 @@ cov AS (SELECT *, CASE WHEN len(n) = 0 THEN 0.0 ELSE len(list_filter(n, lambda x
   WHEN c >= 0.3 THEN 'LOW' ELSE 'NOT_FOUND' END AS class FROM cov""")
 def excerpt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _excerpts(spark, sf_dir)
-    return rows.select("question_id", "document_id", "metodo_extracao", F.md5("excerpt").alias("excerpt"), F.round("share", 6).alias("coverage"), T.excerpt_class(F.col("needle"), F.col("flat"), F.col("share")).alias("class"))
+    return rows.select("question_id", "document_id", "metodo_extracao", F.md5("excerpt").alias("excerpt"), F.round("share", 6).alias("coverage"), "class")
+
+
+#: Excerpts of a document that meet its text in one row.
+EXCERPT_GROUP = 256
 
 
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,11 +228,22 @@ def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = source.select("question_id", F.col("s.document_id").alias("document_id"), F.col("s.support_excerpt").alias("excerpt")).where("document_id is not null and excerpt is not null").distinct()
     source = source.select("question_id", "document_id", "excerpt", T.normalized(F.col("excerpt")).alias("needle"), T.informative(F.col("excerpt")).alias("tokens"))
     docs = table(spark, sf_dir, "corpus").where("texto is not null").groupBy("id", "metodo_extracao").agg(F.max_by("texto", "registro").alias("texto"))
-    # Only documents that a source names are tokenised, each once.
-    docs = docs.join(source.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi")
+    # Only documents that a source names are tokenised, each once; a text goes to groups of excerpts, not to each of them.
+    sizes = source.groupBy("document_id").agg(F.ceil(F.count("*") / EXCERPT_GROUP).alias("groups"))
+    docs = docs.join(sizes.select(F.col("document_id").alias("id")), "id", "left_semi")
     docs = docs.select("id", "metodo_extracao", T.normalized(F.col("texto")).alias("flat"))
-    joined = source.join(docs, F.col("document_id") == F.col("id"))
-    return joined.withColumn("share", T.coverage(F.col("tokens"), F.split("flat", " "), 0.0))
+    grouped = source.join(sizes, "document_id").groupBy("document_id", F.pmod(F.xxhash64("question_id", "excerpt"), "groups").alias("group"))
+    asked = grouped.agg(F.collect_list(F.struct("question_id", "excerpt", "needle", "tokens")).alias("asked"))
+
+    def scored(d: Column) -> Column:
+        shares = F.transform("asked", lambda x: F.struct(x.alias("x"), T.coverage(x["tokens"], d["words"], 0.0).alias("share")))
+        return F.transform(shares, lambda y: F.struct(
+            y["x"]["question_id"].alias("question_id"), y["x"]["excerpt"].alias("excerpt"), y["share"].alias("share"), T.excerpt_class(y["x"]["needle"], d["flat"], y["share"]).alias("class")))
+
+    joined = asked.join(docs, F.col("document_id") == F.col("id"))
+    # Bound by a lambda: a text is split once.
+    found = F.transform(F.array(F.struct("flat", F.split("flat", " ").alias("words"))), scored)[0]
+    return joined.select("document_id", "metodo_extracao", F.explode(found).alias("r")).select("document_id", "metodo_extracao", "r.*")
 
 
 @register(_AUDIT + """SELECT threshold::DOUBLE AS threshold, count(DISTINCT question_id) AS questions, count(DISTINCT question_id) FILTER (WHERE c >= threshold) AS covered
