@@ -23,14 +23,6 @@ NEXT_FOCUS = {
 }
 
 
-def nearest_rank_p95(values: Column) -> Column:
-    """The value at position round-half-even(0.95 (n - 1)) of the sorted group;
-    null for an empty one. It gathers the group: large ones are for ``ordered.nearest_rank``."""
-    ordered = F.sort_array(F.collect_list(values))
-    place = (F.bround(F.lit(0.95) * (F.size(ordered) - 1)) + 1).cast("int")
-    return F.try_element_at(ordered, F.greatest(F.lit(1), place))
-
-
 def histogram(value: Column) -> Column:
     """Null and empty values are ``unknown``."""
     return F.coalesce(F.nullif(value, F.lit("")), F.lit("unknown"))

@@ -14,10 +14,6 @@ from tessitura.session import table
 _METRICS = ("recall_at_k", "doc_recall_at_k", "precision_at_k", "mrr_at_k", "ndcg_at_k")
 
 
-def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.last_results(table(spark, sf_dir, "per_question"))
-
-
 # Rows that repeat a result entirely, or tie on both times, are aggregated the same way in both engines.
 _RAW = "FROM per_question WHERE config IS NOT NULL AND question_id IS NOT NULL"
 
@@ -147,7 +143,7 @@ def checkpoint_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "per_question")
     late = F.count_if(F.col("loaded_at") > F.col("recorded_at") + F.expr("INTERVAL 7 DAY"))
     counts = rows.groupBy("config", "question_id").agg(F.count("*").alias("n"), late.alias("late"))
-    last = E.last_results(rows).select("config", "question_id", "loaded_at")
+    last = E.last_results(rows.select("config", "question_id", "recorded_at", "loaded_at")).select("config", "question_id", "loaded_at")
     return last.join(counts, ["config", "question_id"]).select("config", "question_id", "loaded_at", "n", "late")
 
 
@@ -257,17 +253,17 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT rule, count(*) AS n FROM (
   SELECT unnest(list_filter([CASE WHEN question_id IS NULL OR NOT regexp_matches(question_id, '^gt-\\d{4,}$') THEN 'question_id' END, CASE WHEN question IS NULL OR trim(question) = '' THEN 'question' END,
    CASE WHEN expected_answer IS NULL OR trim(expected_answer) = '' THEN 'expected_answer' END, CASE WHEN query_type NOT IN ('factual', 'procedural', 'definition', 'comparison') THEN 'query_type' END,
-   CASE WHEN difficulty NOT IN ('easy', 'medium', 'hard') THEN 'difficulty' END, CASE WHEN coalesce(len(relevant_sources), 0) = 0 THEN 'no_sources' END], lambda x: x IS NOT NULL)) AS rule FROM gt_questions
+   CASE WHEN difficulty NOT IN ('easy', 'medium', 'hard') THEN 'difficulty' END, CASE WHEN answerability NOT IN ('corpus_supported', 'source_only', 'not_in_corpus') THEN 'answerability' END, CASE WHEN coalesce(len(relevant_sources), 0) = 0 THEN 'no_sources' END], lambda x: x IS NOT NULL)) AS rule FROM gt_questions
   UNION ALL SELECT unnest(list_filter([CASE WHEN s.document_id IS NULL THEN 'source_without_document' END, CASE WHEN coalesce(s.relevance, 0) NOT BETWEEN 1 AND 3 THEN 'relevance' END,
    CASE WHEN s.url NOT LIKE 'http%' THEN 'url' END], lambda x: x IS NOT NULL)) FROM (SELECT unnest(relevant_sources) AS s FROM gt_questions)) GROUP BY rule""".replace("\\\\", "\\"))
 def ground_truth_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessitura.schemas import DIFFICULTIES, QUERY_TYPES
+    from tessitura.schemas import ANSWERABILITIES, DIFFICULTIES, QUERY_TYPES
 
     q = table(spark, sf_dir, "gt_questions")
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     row = [
         F.when(F.col("question_id").isNull() | ~F.col("question_id").rlike(r"^gt-\d{4,}$"), "question_id"), F.when(blank("question"), "question"), F.when(blank("expected_answer"), "expected_answer"),
-        F.when(~F.col("query_type").isin(*QUERY_TYPES), "query_type"), F.when(~F.col("difficulty").isin(*DIFFICULTIES), "difficulty"),
+        F.when(~F.col("query_type").isin(*QUERY_TYPES), "query_type"), F.when(~F.col("difficulty").isin(*DIFFICULTIES), "difficulty"), F.when(~F.col("answerability").isin(*ANSWERABILITIES), "answerability"),
         F.when(F.coalesce(F.array_size("relevant_sources"), F.lit(0)) == 0, "no_sources"),
     ]
     source = [

@@ -57,8 +57,6 @@ def test_metrics(spark):
     assert one(spark, E.ndcg(F.col("g")), g=[3, 0, 2, 0, 1]) == 0.9212478445981336
     assert one(spark, E.ndcg(F.col("g")), g=[0, 3]) == 0.6309297535714574
     assert one(spark, E.ndcg(F.col("g")), g=[0, -1]) == 0.0 and one(spark, E.reciprocal_rank(F.col("g")), g=[0, 0, 2]) == 1 / 3
-    rows = spark.createDataFrame([(float(i),) for i in range(48)], "v double")
-    assert rows.agg(E.nearest_rank_p95(F.col("v"))).first()[0] == 45.0 and rows.limit(0).agg(E.nearest_rank_p95(F.col("v"))).first()[0] is None
     f = lambda **k: one(spark, E.failure_type(E.usable(F.col("r"), F.col("c"), F.col("k")), F.col("g"), F.col("r"), F.col("d"), F.col("c"), F.col("k")), **k)
     assert f(r=1.0, d=1.0, c=0.9, k=0.9, g="ok") == "usable" and f(r=0.0, d=0.0, c=0.9, k=0.9, g="error") == "generator_failure"
     assert f(r=0.0, d=0.0, c=0.9, k=0.9, g="ok") == "retrieval_document_failure" and f(r=0.0, d=1.0, c=0.9, k=0.9, g="ok") == "retrieval_passage_failure"
