@@ -263,14 +263,24 @@ n AS (SELECT question_id, count(*) AS n FROM a GROUP BY 1), t AS (SELECT DISTINC
 SELECT question_id, count(*) AS chunks FROM (SELECT a.question_id, chunk_id FROM a JOIN t USING (anchor) JOIN n ON n.question_id = a.question_id GROUP BY a.question_id, chunk_id, n.n HAVING count(*) = n.n) GROUP BY 1""")
 def chunks_with_all_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold every anchor of a question (its last two informative
-    words by the alphabet): the sets of chunks per anchor meet in an inverted
-    join, none is gathered."""
+    words by the alphabet; those of all its rows, should its id repeat). Chunks
+    are counted per pair of asked words that they hold, whatever the number of
+    questions; only questions of more than two anchors meet chunks."""
     words = F.slice(F.sort_array(F.array_distinct(T.informative(F.col("question"))), asc=False), 1, 2)
-    asked = table(spark, sf_dir, "gt_questions").where("question is not null").select("question_id", words.alias("anchors"))
-    asked = asked.select("question_id", F.size("anchors").alias("n"), F.explode("anchors").alias("anchor"))
-    held = table(spark, sf_dir, "metadata").where("texto is not null and chunk_id is not null").select("chunk_id", F.explode(F.array_distinct(T.informative(F.col("texto")))).alias("anchor")).distinct()
-    met = asked.join(held, "anchor").groupBy("question_id", "chunk_id", "n").agg(F.count("*").alias("m")).where("m = n")
-    return met.groupBy("question_id").agg(F.count("*").alias("chunks"))
+    asked = table(spark, sf_dir, "gt_questions").where("question is not null and question_id is not null").select("question_id", F.explode(words).alias("anchor"))
+    anchors = materialize(asked.select("anchor").distinct().select("anchor", F.monotonically_increasing_id().alias("id")), "anchors")
+    sets = asked.join(anchors, "anchor").groupBy("question_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    held = table(spark, sf_dir, "metadata").where("texto is not null and chunk_id is not null").select("chunk_id", F.explode(F.array_distinct(T.informative(F.col("texto")))).alias("anchor"))
+    leads = held.join(anchors, "anchor").groupBy("chunk_id").agg(F.collect_set("id").alias("held")).select("held", F.explode("held").alias("lead"))
+    # A single anchor is a pair with itself.
+    pairs = leads.select("lead", F.explode("held").alias("last")).where("lead <= last").groupBy("lead", "last").agg(F.count("*").alias("chunks"))
+    found = sets.where("size(ids) <= 2").select("question_id", F.col("ids")[0].alias("lead"), F.element_at("ids", -1).alias("last")).join(pairs, ["lead", "last"]).select("question_id", "chunks")
+    more = sets.where("size(ids) > 2").select("question_id", "ids", F.col("ids")[0].alias("lead"))
+    if more.isEmpty():
+        return found
+    # Only of ids that repeat.
+    met = leads.join(more, "lead").where(F.forall("ids", lambda x: F.array_contains("held", x)))
+    return found.unionByName(met.groupBy("question_id").agg(F.count("*").alias("chunks")))
 
 
 @register(f"""WITH ex AS (SELECT DISTINCT question_id, {_LOOSE.format('s.document_id')} AS document_id, {_LABEL} AS sig, s.support_excerpt AS excerpt FROM (SELECT question_id, unnest(relevant_sources) AS s FROM gt_questions)
